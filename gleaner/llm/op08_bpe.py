@@ -80,10 +80,12 @@ WITH RECURSIVE s(step, w, pos, id, merged, safe) AS (
    SELECT n.step, n.w, n.pos, n.id, m.merged, m.safe FROM nexts n LEFT JOIN merges m ON m.l = n.id AND m.r = n.nxt))
 """
 
-#: The rows of each pretoken's last step, in order.
+#: The rows of each pretoken's last step, aggregated in order: the database runs one thread, so string_agg meets the sorted rows one after another.
 ENDED = """
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS n, unhex(string_agg(t.hex, '' ORDER BY pos)) AS bytes
-FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) JOIN vocabulary t USING (id) GROUP BY w
+SELECT w, string_agg(id::VARCHAR, ' ') AS ids, count(*) AS n, unhex(string_agg(hex, '')) AS bytes
+FROM (SELECT w, pos, id, hex FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
+      JOIN vocabulary USING (id) ORDER BY w, pos)
+GROUP BY w
 """
 
 
@@ -127,7 +129,8 @@ class MergeTable:
             after[np.cumsum(n) - 1] = -1
             w = np.repeat(np.arange(len(raw), dtype=np.int32), n)
             self.db.register("seed", pa.table({"w": w, "pos": pos, "id": ids, "npos": pos + np.int32(1), "nid": after}))
-            self.known.update((part[i], (said, k, data)) for i, said, k, data in self.db.execute(query + ENDED).fetchall())
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE steps AS {query} SELECT step, w, pos, id FROM s")
+            self.known.update((part[i], (said, k, data)) for i, said, k, data in self.db.execute(ENDED).fetchall())
             self.db.unregister("seed")
 
 
