@@ -35,6 +35,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def small_batches(df: DataFrame, rows: int = 500) -> None:
     """Bounds the rows of an Arrow batch, since texts may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

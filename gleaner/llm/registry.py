@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op01_simhash, op08_bpe
+from gleaner.llm import op01_simhash, op02_language, op08_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op8_byte_bpe": op08_bpe.op8_byte_bpe}
+    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op2_language_id": op02_language.op2_language_id, "op8_byte_bpe": op08_bpe.op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
