@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op01_simhash, op02_language, op07_decontaminate, op08_bpe
+from gleaner.llm import op01_simhash, op02_language, op06_rules, op07_decontaminate, op08_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op2_language_id": op02_language.op2_language_id, "op7_benchmark_decontamination": op07_decontaminate.op7_benchmark_decontamination, "op8_byte_bpe": op08_bpe.op8_byte_bpe}
+    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op2_language_id": op02_language.op2_language_id, "op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.op7_benchmark_decontamination, "op8_byte_bpe": op08_bpe.op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": op07_decontaminate.ORACLE}
+    return {"op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.ORACLE}
