@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op01_simhash, op02_language, op06_rules, op07_decontaminate, op08_bpe, op10_license
+from gleaner.llm import op01_simhash, op02_language, op03_quality, op06_rules, op07_decontaminate, op08_bpe, op10_license
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op2_language_id": op02_language.op2_language_id, "op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.op7_benchmark_decontamination, "op8_byte_bpe": op08_bpe.op8_byte_bpe, "op10_license_scan": op10_license.op10_license_scan}
+    return {"op1_simhash_near_dedup": op01_simhash.op1_simhash_near_dedup, "op2_language_id": op02_language.op2_language_id, "op3_quality_classifier": op03_quality.op3_quality_classifier, "op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.op7_benchmark_decontamination, "op8_byte_bpe": op08_bpe.op8_byte_bpe, "op10_license_scan": op10_license.op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.ORACLE}
+    return {"op3_quality_classifier": op03_quality.op3_quality_classifier, "op6_quality_rules": op06_rules.op6_quality_rules, "op7_benchmark_decontamination": op07_decontaminate.ORACLE}
