@@ -1,8 +1,8 @@
 """Candidates for repeated windows: super-k-mers.
 
 A window is `width` consecutive symbols of a text. Each window's anchor is the least hash of its grams of `gram` symbols,
-so equal windows have equal anchors wherever they stand. Consecutive windows of one anchor form a piece (a super-k-mer):
-one row instead of one per window. An anchor that occurs once has no repeated window. An anchor whose pieces are all
+the leftmost of equal ones, so equal windows have equal anchors wherever they stand. Consecutive windows with their anchor
+at one place form a piece (a super-k-mer): one row instead of one per window. Windows of one piece differ. An anchor that occurs once has no repeated window. An anchor whose pieces are all
 equal repeats whole, or not at all. Only anchors with different pieces ("branching") need a closer look at their windows.
 
 Hashes are polynomials modulo 2**64 over mixed symbols. Whatever is decided by them is decided by two of them, of
@@ -24,7 +24,8 @@ from gleaner.llm.common import durable, row_key, small_batches
 #: Windows handled at once; pieces end there, which costs a closer look but changes no result.
 STRETCH = 1 << 17
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
+#: Bits of a gram's place in a stretch.
+_PLACE = np.uint64((1 << 18) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,10 +83,12 @@ def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray,
     out: list[tuple] = []
     for a in range(0, len(symbols) - width + 1, STRETCH):
         part = symbols[a : a + STRETCH + width - 1]
-        anchor = least_of_each(Rolling(part, 0).each(gram), width - gram + 1)
-        begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        count = np.diff(np.append(begin, len(anchor)))
-        out.append((anchor[begin], Rolling(part, 1).of(begin, count + (width - 1)), begin + a, count))
+        hashes = Rolling(part, 0).each(gram)
+        # The least hash by its upper bits, and of equal ones the leftmost: its place is in the lower bits.
+        least = least_of_each((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), width - gram + 1)
+        begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        count = np.diff(np.append(begin, len(least)))
+        out.append((hashes[(least[begin] & _PLACE).astype(np.int64)], Rolling(part, 1).of(begin, count + (width - 1)), begin + a, count))
     if not out:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
