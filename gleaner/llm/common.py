@@ -53,3 +53,16 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def carried(columns: list[str]) -> list[Column]:
+    """Columns to pass through an Arrow function, under names that cannot clash with its own."""
+    return [F.col(f"`{c}`").alias(f"_carried_{i}") for i, c in enumerate(columns)]
+
+
+def carried_schema(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f", _carried_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({f"_carried_{i}": c for i, c in enumerate(columns)})

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, durable, pieces, small_batches
+from gleaner.llm.common import documents, durable, pieces, row_key, small_batches
 from gleaner.llm.components import components
 
 RADIUS = 3
@@ -207,6 +207,21 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     return prints.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, width: int = 3) -> DataFrame:
+    """One row of each class of docs: the least key's; of rows with that key, one."""
+    keyed = docs.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
+    prints = durable(fingerprints(keyed.select(F.struct("key", "rid").alias("id"), "text"), "id", "text", width).select("key.key", "key.rid", "fp"))
+    distinct = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("least")))
+    roots = components(links(distinct.select("fp"), radius, tile), "a", "b")
+    classes = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("class"), "least")
+    kept = durable(classes.groupBy("class").agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key"), F.col("least.rid").alias("kept_rid")))
+    rid = row_key(F.col(key), F.col(text))
+    out = docs.withColumn("_rid", rid).join(kept.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("_rid") == F.col("kept_rid")), "left_semi")
+    if prints.groupBy("key", "rid").count().filter("count > 1").limit(1).count():  # repeated rows: else there is nothing to choose from
+        out = out.dropDuplicates([key, "_rid"])
+    return out.drop("_rid")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, pieces, small_batches
+from gleaner.llm.common import carried, carried_schema, documents, pieces, restored, small_batches
 
 #: Labelled rows of each language that training reads, and the most languages it learns.
 PER_LANG, MOST_LANGS = 1500, 200
 #: Cost of a change of language between two words, in nats.
 SWITCH = 8.0
+#: Share of letters in one language below which a text is rejected.
+CONFIDENT = 0.4
 #: Words remembered by a worker before it starts anew.
 CACHE = 400_000
 #: Texts of more characters are taken in stretches.
@@ -215,8 +217,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
-    """Per row: key, lang_pred, score, and spans (begin, end, lang) in characters of the text if with_spans."""
+def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, with_spans: bool = True, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """Per row: key, lang_pred, score, spans (begin, end, lang) in characters of the text if with_spans, and the columns named in carry as they are."""
     small_batches(df, 5000)
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
@@ -246,11 +248,14 @@ def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
             if with_spans:
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 columns, names = [*columns, pa.array(spans, kind)], [*names, "spans"]
+            more = [f"_carried_{i}" for i in range(len(carry))]
+            columns, names = [*columns, *map(batch.column, more)], [*names, *more]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, lang_pred string, score double" + ", spans array<struct<begin: int, end: int, lang: string>>" * with_spans
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = f"key {kind}, lang_pred string, score double" + ", spans array<struct<begin: int, end: int, lang: string>>" * with_spans + carried_schema(df, carry)
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *carried(carry)).mapInArrow(run, schema)
+    return restored(out if key in carry else out.withColumnRenamed("key", key), carry)
 
 
 def _parts(m: Model, text: str) -> Iterator[list[str]]:
@@ -284,6 +289,13 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
 
 
+def confident(docs: DataFrame, least: float = CONFIDENT) -> DataFrame:
+    """Rows of docs whose language is known: not `und`, and `least` of the letters in spans of one language. Learns as op2 does."""
+    model = train(docs.filter(F.coalesce(~held_out(), F.lit(False))))
+    rated = label_spans(docs, model, with_spans=False, carry=docs.columns)
+    return rated.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.filter(F.coalesce(~held_out(), F.lit(False))))

@@ -131,6 +131,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs that are not contaminated."""
+    bad = durable(judge(docs, benchmark, key, text).filter("contaminated").select(F.col(key).alias("bad_key"), F.col("rid").alias("bad_rid")).distinct())
+    same = F.col(key).eqNullSafe(F.col("bad_key")) & (row_key(F.col(key), F.col(text)) == F.col("bad_rid"))
+    return docs.join(bad, same, "left_anti")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("rid")
 

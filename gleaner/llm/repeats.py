@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import durable, row_key, small_batches
+from gleaner.llm.common import carried, durable, row_key, small_batches
 
 #: Windows handled at once; pieces end there, which costs a closer look but changes no result.
 STRETCH = 1 << 17
@@ -134,8 +134,8 @@ class Scratch:
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
 
 
-def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
+def keyed(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    return df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"), *carried(carry))
 
 
 def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFrame:
@@ -159,7 +159,7 @@ def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFra
                 ["anchor", "digest", "key", "rid", "pos", "n"],
             )
 
-    return docs.mapInArrow(run, f"anchor long, digest long, key {kind}, rid long, pos int, n int")
+    return docs.select("key", "rid", "text").mapInArrow(run, f"anchor long, digest long, key {kind}, rid long, pos int, n int")
 
 
 def repeated_anchors(pieces: DataFrame) -> DataFrame:
