@@ -143,8 +143,10 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     named = labels.filter(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(quality).alias("quality"))
     chosen = named.orderBy(F.xxhash64("key"), "key").limit(sample)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # at most `sample` keys
-    stats = statistics(rows, "key", "text").join(F.broadcast(chosen), "key").filter(~base_failed())
-    got = stats.select("quality", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(3)).alias("part"), *[v.alias(k) for k, v in features().items()]).orderBy("key").collect()
+    stats = statistics(rows, "key", "text").join(F.broadcast(chosen), "key")
+    got = stats.select("key", "quality", base_failed().alias("failed"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(3)).alias("part"), *[v.alias(k) for k, v in features().items()]).collect()
+    # Sorted out here: as a filter, the base rules would be computed below the join, for every row of df.
+    got = sorted((r for r in got if not r.failed), key=lambda r: r.key)
     names = list(features())
     x = np.array([[r[k] for k in names] for r in got], dtype=float).reshape(len(got), len(names))
     return learn(x, np.array([r.quality == 0 for r in got], dtype=bool), np.array([r.part == 0 for r in got], dtype=bool), names)
