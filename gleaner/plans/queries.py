@@ -568,3 +568,26 @@ def mutual_info(spark, d):
 def npsk_rank(spark, d):
     s = T.load(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.concat(F.lit("m"), (F.col("l_quantity") / 10).cast("int").cast("string")).alias("concept"), F.col("l_extendedprice").alias("score"))
     return ranking.rank_clusters(s, ["dataset"])
+
+
+def _forest_rows(spark, d):
+    c = T.commits(spark, d).filter("dataset = '1-URGENT'")
+    month = F.month("date").cast("double")
+    return c.withColumns({"size": F.col("x"), "la": F.col("x") * F.col("label") + F.col("author"), "month_mean": month})
+
+
+@query()
+def rf_mdi(spark, d):
+    """Forest importances per window, from one bootstrap of one grid point with few trees."""
+    from gleaner.plans import stages
+
+    return stages.forest(_forest_rows(spark, d), ["size", "la", "month_mean"], bootstraps=1, points=[{"trees": 10, "features": "sqrt", "leaf": 1}])["raw_mdi"]
+
+
+@query()
+def bootstrap_sample(spark, d):
+    """Rows by class before and after a stratified bootstrap."""
+    from gleaner.operators import model
+
+    rows = timeline.numbered(T.commits(spark, d))
+    return model.bootstrap(rows.withColumn("idx", F.col("commit_id")), 7).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("commit_id").alias("distinct_rows"))
