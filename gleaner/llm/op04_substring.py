@@ -37,7 +37,7 @@ class _Words:
 
     @classmethod
     def hashes(cls, words: list[bytes]) -> np.ndarray:
-        new = set(words) - cls.known.keys()
+        new = set(words).difference(cls.known)
         if new:
             if len(cls.known) + len(new) > CACHE:
                 cls.known = {}
