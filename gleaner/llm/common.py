@@ -65,4 +65,5 @@ def carried_schema(df: DataFrame, columns: list[str]) -> str:
 
 
 def restored(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({f"_carried_{i}": c for i, c in enumerate(columns)})
+    """The carried columns alone, under their names."""
+    return df.select(*[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(columns)])

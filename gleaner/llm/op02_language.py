@@ -218,7 +218,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, with_spans: bool = True, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per row: key, lang_pred, score, spans (begin, end, lang) in characters of the text if with_spans, and the columns named in carry as they are."""
+    """Per row: key, lang_pred, score, spans (begin, end, lang) in characters of the text if with_spans, and the columns named in carry, numbered (see ``carried``)."""
     small_batches(df, 5000)
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
@@ -255,7 +255,7 @@ def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, lang_pred string, score double" + ", spans array<struct<begin: int, end: int, lang: string>>" * with_spans + carried_schema(df, carry)
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *carried(carry)).mapInArrow(run, schema)
-    return restored(out if key in carry else out.withColumnRenamed("key", key), carry)
+    return out.withColumnRenamed("key", key)
 
 
 def _parts(m: Model, text: str) -> Iterator[list[str]]:
@@ -293,7 +293,7 @@ def confident(docs: DataFrame, least: float = CONFIDENT) -> DataFrame:
     """Rows of docs whose language is known: not `und`, and `least` of the letters in spans of one language. Learns as op2 does."""
     model = train(docs.filter(F.coalesce(~held_out(), F.lit(False))))
     rated = label_spans(docs, model, with_spans=False, carry=docs.columns)
-    return rated.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    return restored(rated.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

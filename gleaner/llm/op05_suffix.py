@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import carried_schema, documents, durable, pieces, restored, sha256_hex, small_batches
+from gleaner.llm.common import carried_schema, documents, durable, pieces, sha256_hex, small_batches
 
 WIDTH, GRAM = 200, 64
 #: Different pieces in a slot, about, and of one anchor at most; pieces in a shard.
@@ -196,7 +196,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, the remaining bytes (kept) and their whole characters (kept_text) if with_text, and the columns named in carry as they are."""
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, the remaining bytes (kept) and their whole characters (kept_text) if with_text, and the columns named in carry, numbered (see ``carried``)."""
     docs = repeats.keyed(df, key, text, carry)
     spans = repeated_spans(df, key, text, width, gram)
     kind = df.schema[key].dataType.simpleString()
@@ -222,15 +222,15 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text + carried_schema(df, carry)
     out = repeats.same_row(docs, spans, "left").drop("rid").mapInArrow(run, schema)
-    return restored(out if key in carry else out.withColumnRenamed("key", key), carry)
+    return out.withColumnRenamed("key", key)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes removed from text, and n_chars to match; characters that lost some of their bytes go entirely. Null texts stay null."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    marked = docs.withColumn("_was_null", F.col("text").isNull())
-    out = remove(marked, carry=[*rest, "_was_null"])
-    return out.withColumn("text", F.when(~F.col("_was_null"), F.col("kept_text"))).withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
+    out = remove(docs.withColumn("_was_null", F.col("text").isNull()), carry=[*docs.columns, "_was_null"])
+    text = F.when(~F.col(f"_carried_{len(docs.columns)}"), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new.get(c, F.col(f"_carried_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
