@@ -12,7 +12,6 @@ rows with equal doc_id and different texts are separate; an empty table gives an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,54 +57,42 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _edges(docs: DataFrame, width: int) -> DataFrame:
-    """(h, g, key, rid, pos): edges of the branching paths of each document."""
+    """(h, g, key, rid, pos, times): edges of the branching paths of each document."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, most=1 << 20)):
             out: list[tuple] = []
-            paths = batch.column("paths").to_pylist()
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                symbols = None
-                for x in paths[i]:
-                    if x["branches"]:
-                        symbols = _Words.hashes(split(text)) if symbols is None else symbols
-                        h, g = repeats.window_hashes(symbols, x["pos"], x["n"], width)
-                        out.append((h, g, np.full(x["n"], i), np.arange(x["pos"], x["pos"] + x["n"], dtype=np.int32)))
+            for i, (text, (pos, n, times)) in enumerate(zip(batch.column("text").to_pylist(), repeats.lists(batch.column("paths"), "pos", "n", "times"), strict=True)):
+                symbols = _Words.hashes(split(text))
+                for p, k, t in zip(pos.tolist(), n.tolist(), times.tolist(), strict=True):
+                    out.append((*repeats.window_hashes(symbols, p, k, width), np.full(k, i), np.arange(p, p + k, dtype=np.int32), np.full(k, t, dtype=np.int32)))
             if out:
-                h, g, row, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+                h, g, row, pos, times = (np.concatenate(x) for x in zip(*out, strict=True))
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), pa.array(pos)], ["h", "g", "key", "rid", "pos"]
-                )
+                columns = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), pa.array(pos), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "g", "key", "rid", "pos", "times"])
 
-    return docs.mapInArrow(run, f"h long, g long, key {kind}, rid long, pos int")
+    return docs.select("key", "rid", "text", "paths").mapInArrow(run, f"h long, g long, key {kind}, rid long, pos int, times int")
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, rid, whole, single): per document with repeats, the compacted paths (pos, n) and the single repeated edges."""
+    """(key, rid, runs): per document with repeats, the compacted paths and the single repeated edges as runs (at, n) of edges."""
     docs, scratch = repeats.keyed(df, key, text), repeats.Scratch(df.sparkSession)
     found = scratch.keep(repeats.occurrences(docs, read, width, gram), "pieces")
-    counts = repeats.repeated_anchors(found)
-    chosen = found.select("anchor", "key", "rid", "pos", "n").join(counts.select("anchor", "branches"), "anchor")
-    # A document's own pieces: as many as it is long.
-    paths = scratch.keep(chosen.groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "branches")).alias("paths")), "paths")
+    counts = repeats.repeated_anchors(found).select("anchor", "branches")
+    chosen = scratch.keep(found.select("anchor", "key", "rid", "pos", "n", "times").join(counts, "anchor").drop("anchor"), "chosen")
     scratch.drop("pieces")
     small_batches(df, 1000)
-    edges = scratch.keep(_edges(repeats.same_row(docs, paths.filter(F.exists("paths", lambda x: x["branches"]))), width), "edges")
-    twice = edges.groupBy("h", "g").count().filter("count > 1").select("h", "g")
-    single = edges.join(twice, ["h", "g"]).groupBy("key", "rid").agg(F.collect_list("pos").alias("single"))
-    whole = paths.select("key", "rid", F.filter("paths", lambda x: ~x["branches"]).alias("whole"))
-    both = whole.unionByName(single, allowMissingColumns=True).groupBy("key", "rid").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.flatten(F.collect_list("single")).alias("single"))
-    both = durable(both.select("key", "rid", F.col("whole.pos").alias("begin"), F.col("whole.n").alias("count"), "single").filter("size(begin) + size(single) > 0"))
-    scratch.drop("paths", "edges")
-    return both
-
-
-def _spans(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.array([*(row["begin"] or []), *(row["single"] or [])], dtype=np.int64)
-    count = np.array([*(row["count"] or []), *[1] * len(row["single"] or [])], dtype=np.int64)
-    return repeats.covered(begin, count, width)
+    # A document's own pieces: as many as it is long.
+    branching = chosen.filter("branches").groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "times")).alias("paths"))
+    edges = scratch.keep(_edges(repeats.same_row(docs, branching), width), "edges")
+    twice = edges.groupBy("h", "g").agg(F.sum("times").alias("n")).filter("n > 1").select("h", "g")
+    single = edges.filter("times = 1").join(twice, ["h", "g"]).select("key", "rid", F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")).alias("run"))
+    whole = chosen.filter("NOT branches OR times > 1").select("key", "rid", F.struct(F.col("pos").alias("at"), (F.col("n") * F.col("times")).alias("n")).alias("run"))
+    spans = durable(whole.unionByName(single).groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
+    scratch.drop("chosen", "edges")
+    return spans
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -118,9 +105,9 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             n, removed, sha, kept, cut = [], [], [], [], []
-            for row in batch.select(["text", "begin", "count", "single"]).to_pylist():
-                words = split(row["text"])
-                b, e = _spans(row, width)
+            for text, runs in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("runs"), "at", "n"), strict=True):
+                words = split(text)
+                b, e = repeats.covered(*(x.astype(np.int64) for x in runs), width)
                 out, at = [], 0
                 for x, y in zip(b.tolist(), e.tolist(), strict=True):
                     out += words[at:x]
@@ -139,7 +126,7 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"key {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text
-    return repeats.same_row(docs, spans, "left").select("key", "text", "begin", "count", "single").mapInArrow(run, schema).withColumnRenamed("key", key)
+    return repeats.same_row(docs, spans, "left").select("key", "text", "runs").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

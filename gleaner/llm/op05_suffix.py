@@ -124,18 +124,18 @@ def _texts(docs: DataFrame, width: int) -> DataFrame:
     """(anchor, digest, weight, slot, bytes): the text of each different piece, from the document that stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, most=1 << 20)):
             out = []
-            for text, reps in zip(batch.column("text").to_pylist(), batch.column("reps").to_pylist(), strict=True):
+            for text, reps in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("reps"), "anchor", "digest", "weight", "slot", "pos", "n"), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(x["anchor"], x["digest"], x["weight"], x["slot"], data[x["pos"] : x["pos"] + x["n"] + width - 1]) for x in reps]
+                out += [(a, d, w, s, data[p : p + n + width - 1]) for a, d, w, s, p, n in zip(*(x.tolist() for x in reps), strict=True)]
             if out:
                 a, d, w, s, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(w, pa.int64()), pa.array(s, pa.int64()), pa.array(b, pa.binary())], ["anchor", "digest", "weight", "slot", "bytes"]
                 )
 
-    return docs.mapInArrow(run, "anchor long, digest long, weight long, slot long, bytes binary")
+    return docs.select("text", "reps").mapInArrow(run, "anchor long, digest long, weight long, slot long, bytes binary")
 
 
 def _merge(width: int):
@@ -169,7 +169,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
     chosen = scratch.keep(found.join(counts, "anchor"), "chosen")
     scratch.drop("pieces")
 
-    different = chosen.filter("branches").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("key", "rid", "pos", "n")).alias("rep"))
+    different = chosen.filter("branches").groupBy("anchor", "digest").agg(F.sum("times").alias("weight"), F.min(F.struct("key", "rid", "pos", "n")).alias("rep"))
     different = scratch.keep(different, "different")
     by_anchor = different.groupBy("anchor").count()
     slots = max(1, -(-different.count() // slot))
@@ -187,8 +187,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
     verdicts = scratch.keep(merged.unionByName(counted).filter("size(runs) > 0"), "verdicts")
     scratch.drop("texts")
 
-    parts = chosen.filter("branches").join(verdicts, ["anchor", "digest"]).select("key", "rid", F.explode(F.transform("runs", lambda r: F.struct((F.col("pos") + r["at"]).alias("at"), r["n"].alias("n")))).alias("run"))
-    whole = chosen.filter("NOT branches").select("key", "rid", F.struct(F.col("pos").alias("at"), "n").alias("run"))
+    parts = chosen.filter("branches AND times = 1").join(verdicts, ["anchor", "digest"]).select("key", "rid", F.explode(F.transform("runs", lambda r: F.struct((F.col("pos") + r["at"]).alias("at"), r["n"].alias("n")))).alias("run"))
+    whole = chosen.filter("NOT branches OR times > 1").select("key", "rid", F.struct(F.col("pos").alias("at"), (F.col("n") * F.col("times")).alias("n")).alias("run"))
     # A document's own runs: no more than it is long.
     spans = durable(whole.unionByName(parts).groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
     scratch.drop("chosen", "verdicts")
@@ -205,9 +205,9 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             out: list[tuple] = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("runs"), "at", "n"), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                b, e = repeats.covered(*(np.array([x[c] for x in runs or []], dtype=np.int64) for c in ("at", "n")), width)
+                b, e = repeats.covered(*(x.astype(np.int64) for x in runs), width)
                 edges = [0, *np.stack([b, e], axis=1).ravel().tolist(), len(data)]
                 left = b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 out.append((len(data), int((e - b).sum()), len(b), sha256_hex(left), left))

@@ -78,8 +78,8 @@ def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - span :][: len(x) - width + 1]) if span < width else out
 
 
-def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, digest, first window, number of windows) of a text's pieces."""
+def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, digest, first window, number of windows, times) of a text's pieces; equal pieces one after another, as periodic text has them, are one with `times`."""
     out: list[tuple] = []
     for a in range(0, len(symbols) - width + 1, STRETCH):
         part = symbols[a : a + STRETCH + width - 1]
@@ -90,8 +90,10 @@ def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray,
         count = np.diff(np.append(begin, len(least)))
         out.append((hashes[(least[begin] & _PLACE).astype(np.int64)], Rolling(part, 1).of(begin, count + (width - 1)), begin + a, count))
     if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    a, d, p, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1]) | (p[1:] != p[:-1] + n[:-1])))
+    return a[head], d[head], p[head], n[head], np.diff(np.append(head, len(a)))
 
 
 def window_hashes(symbols: np.ndarray, begin: int, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,14 @@ def covered(begin: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarra
     return b[new], e[last]
 
 
+def lists(column: pa.ListArray, *fields: str) -> list[tuple[np.ndarray, ...]]:
+    """Each row's list of structs (or of plain values, without fields) as numpy arrays; a null row has empty ones."""
+    flat = column.flatten()
+    arrays = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields] if fields else [flat.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [tuple(a[x:y] for a in arrays) for x, y in zip([0, *ends], ends, strict=False)]
+
+
 class Scratch:
     """Tables in the shared folder for intermediate results, to be dropped when they have served."""
 
@@ -139,7 +149,7 @@ def keyed(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFram
 
 
 def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFrame:
-    """(anchor, digest, key, rid, pos, n): the pieces of keyed documents."""
+    """(anchor, digest, key, rid, pos, n, times): the pieces of keyed documents."""
     small_batches(docs, 1000)
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -153,18 +163,18 @@ def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFra
             if not found:
                 continue
             row = pa.array(np.concatenate(rows))
-            a, d, p, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, d, p, n, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            numbers = [pa.array(x.astype(np.int32)) for x in (p, n, times)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "digest", "key", "rid", "pos", "n"],
+                [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), *numbers], ["anchor", "digest", "key", "rid", "pos", "n", "times"]
             )
 
-    return docs.select("key", "rid", "text").mapInArrow(run, f"anchor long, digest long, key {kind}, rid long, pos int, n int")
+    return docs.select("key", "rid", "text").mapInArrow(run, f"anchor long, digest long, key {kind}, rid long, pos int, n int, times int")
 
 
 def repeated_anchors(pieces: DataFrame) -> DataFrame:
     """(anchor, n_pieces, branches) of anchors with two pieces or more; branches: not all of them are equal."""
-    agg = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_pieces"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    agg = pieces.groupBy("anchor").agg(F.sum("times").alias("n_pieces"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     return agg.filter("n_pieces > 1").select("anchor", "n_pieces", (F.col("low") != F.col("high")).alias("branches"))
 
 
