@@ -1,7 +1,7 @@
 """Call resolution and coupling.
 
 A cascade of joins finds what a call site calls: every tier is an equi-join on derived keys; the first tier with a hit
-wins, in it the nearest method to the caller, then the first by (file, start, id). Rows that a tier matched take no part in later ones.
+wins, in it the nearest method to the caller, then the first by (file, start, id).
 """
 
 from __future__ import annotations
@@ -29,14 +29,13 @@ def resolve_callers(sites: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def _cascade(sites: DataFrame, methods: DataFrame, tiers: list[Column], at: Column, name: str) -> DataFrame:
+    """The best hit of each site by tier, nearness and order: one union of joins and one aggregate, so the plan grows with the tiers, not with their powers."""
     hits = None
     for i, on in enumerate(tiers, 1):
-        best = F.min(F.struct(F.abs(F.col("m_start") - at).alias("far"), F.col("m_file"), F.col("m_start"), F.col("m_id"))).alias("b")
-        tier = sites.join(methods, on).groupBy("site").agg(best).select("site", F.lit(i).alias("tier"), F.col("b.m_id").alias(name))
+        tier = sites.join(methods, on).select("site", F.struct(F.lit(i).alias("tier"), F.abs(F.col("m_start") - at).alias("far"), F.col("m_file"), F.col("m_start"), F.col("m_id")).alias("hit"))
         hits = tier if hits is None else hits.unionByName(tier)
-        if i < len(tiers):
-            sites = sites.join(tier, "site", "left_anti")
-    return hits
+    best = hits.groupBy("site").agg(F.min("hit").alias("b"))
+    return best.select("site", F.col("b.tier").alias("tier"), F.col("b.m_id").alias(name))
 
 
 def resolve_callees(sites: DataFrame, methods: DataFrame, imports: DataFrame | None = None) -> DataFrame:
