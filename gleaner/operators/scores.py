@@ -84,6 +84,16 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
+def _within(whole: np.ndarray, s: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each of s how many of `whole` (sorted) are nearer than far; bounds are corrected by the distances themselves, since sums round."""
+    low, high = np.searchsorted(whole, s - far, side="left"), np.searchsorted(whole, s + far, side="right")
+    while (off := (high > low) & (whole[high - 1] - s >= far)).any():
+        high = high - off
+    while (off := (low < high) & (s - whole[np.minimum(low, len(whole) - 1)] >= far)).any():
+        low = low + off
+    return high - low
+
+
 def _mi(x: np.ndarray, y: np.ndarray, k: int, seed: int) -> float:
     if len(x) < 3 or len(np.unique(x)) < 2 or len(np.unique(y)) < 2:
         return 0.0
@@ -103,9 +113,7 @@ def _mi(x: np.ndarray, y: np.ndarray, k: int, seed: int) -> float:
             a, b = i - d, i - d + kc
             fits = (a >= 0) & (b < len(s))
             far[fits] = np.minimum(far[fits], np.maximum(s[i[fits]] - s[a[fits]], s[b[fits]] - s[i[fits]]))
-        r = np.nextafter(far, 0)
-        m = np.searchsorted(whole, s + r, side="right") - np.searchsorted(whole, s - r, side="left")
-        parts.append((len(s), kc, m))
+        parts.append((len(s), kc, _within(whole, s, far)))
     n = sum(p[0] for p in parts)
     if not n:
         return 0.0
