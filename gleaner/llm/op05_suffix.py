@@ -30,8 +30,12 @@ from gleaner.llm import repeats
 from gleaner.llm.common import carried_schema, documents, durable, pieces, sha256_hex, small_batches
 
 WIDTH, GRAM = 200, 64
-#: Different pieces in a slot, about, and of one anchor at most; pieces in a shard.
-SLOT, MOST, SHARD = 1500, 2500, 500
+#: Different pieces in a slot, about: few, so that a slot's arrays stay in the processor's cache and long byte groups have 16-bit ranks.
+SLOT = 128
+#: Different pieces of one anchor that a slot takes at most: about 5 MB of text, whose merge holds some 0.3 GB.
+MOST = 16_000
+#: Pieces in a shard, and shards in a slot at most.
+SHARD, SHARDS = 64, 16
 _SYMBOLS = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -60,29 +64,30 @@ def group_ranks(text: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     return rank, size
 
 
-def refine(before: np.ndarray, last_to_first: np.ndarray, row: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, block of each) in the order of their first `steps` symbols.
+def refine(before: np.ndarray, last_to_first: np.ndarray, row: np.ndarray, steps: int, blocks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, block of each if asked for) in the order of their first `steps` symbols.
 
     before: the symbol before each row's suffix; last_to_first: the row of the suffix that begins there; row: the rows to start from.
     """
-    block = np.zeros(len(row), dtype=np.int32)
-    new = np.zeros(len(row), dtype=np.int32)
+    block, new = np.zeros(len(row), dtype=np.int32), np.zeros(len(row), dtype=bool)
     for _ in range(steps):
         symbol = before[row]
         order = np.argsort(symbol, kind="stable")
-        row, symbol, block = last_to_first[row[order]], symbol[order], block[order]
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new, dtype=np.int32)
+        row = last_to_first[row[order]]
+        if blocks:
+            symbol, block = symbol[order], block[order]
+            new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+            block = np.cumsum(new, dtype=np.int32)
     return row, block
 
 
 def transform(rank: np.ndarray, size: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's transform: its suffixes in order, the symbol before each, and the last-to-first map as row numbers."""
     n = len(rank)
-    place = np.arange(n)
-    earlier = (place - size) % n
-    suffix, _ = refine(rank[earlier], earlier, place, steps)
-    number = np.empty(n, dtype=np.int64)
+    place = np.arange(n, dtype=np.int32)
+    earlier = np.roll(place, size)
+    suffix, _ = refine(rank[earlier], earlier, place, steps, blocks=False)
+    number = np.empty(n, dtype=np.int32)
     number[suffix] = place
     return suffix, rank[earlier][suffix], number[earlier[suffix]]
 
@@ -95,15 +100,16 @@ def repeated_windows(strings: list[bytes], weights: list[int], width: int = WIDT
     rank, size = group_ranks(text, width)
     steps = width // size
     suffixes, before, last_to_first = [], [], []
+    shard = max(shard, -(-len(strings) // SHARDS))
     for a in range(0, len(strings), shard):
         begin, end = int(first[a]), int(first[a] + sizes[a : a + shard].sum())
         # Groups at a shard's end reach into what follows; no window does, so that is as good as any end mark.
         s, b, lf = transform(rank[begin:end], size, steps)
-        suffixes.append(s + begin)
+        suffixes.append(s + np.int32(begin))
         before.append(b)
-        last_to_first.append(lf + begin)
+        last_to_first.append(lf + np.int32(begin))
     suffix = np.concatenate(suffixes)
-    row, block = refine(np.concatenate(before), np.concatenate(last_to_first), np.arange(len(text)), steps)
+    row, block = refine(np.concatenate(before), np.concatenate(last_to_first), np.arange(len(text), dtype=np.int32), steps)
     place = suffix[row]
     owner = np.repeat(np.arange(len(strings)), sizes)
     weight = np.where(np.arange(len(text)) - first[owner] <= sizes[owner] - width, np.asarray(weights)[owner], 0)  # no window starts in a string's tail
