@@ -164,18 +164,18 @@ def test_stage_sets():
 
 def test_stages(spark):
     rng = random.Random(7)
-    rows = [("d", i, i, int(rng.random() < 0.4)) for i in range(80)]
+    rows = [("d", i, i, int(rng.random() < 0.4)) for i in range(70)]
     df = spark.createDataFrame([(*r, r[3] + rng.random(), rng.random()) for r in rows], "dataset string, commit_id long, date long, label int, la double, current_cc_mean double")
     point = [{"trees": 3, "features": "sqrt", "leaf": 1}]
     one = stages.univariate(df, ["la", "current_cc_mean"], ("spearman", "kendall"))
     assert {r.concept: r.consensus_rank for r in one["consensus_ranking"].collect()} == {"cc": 1, "la": 1}  # one dataset cannot tell them apart
-    two = stages.forest(df, ["la", "current_cc_mean"], bootstraps=2, points=point)
+    two = stages.forest(df, ["la", "current_cc_mean"], bootstraps=1, points=point)
     total = two["raw_mdi"].groupBy("window_id", "bootstrap_id").agg(F.sum("importance").alias("s")).collect()
     assert total and all(r.s == pytest.approx(1) for r in total)
     ranks = two["raw_mdi_npsk_ranks"].select("concept", "meta_mdi_npsk_rank", "mean_rank")
     three = stages.top_k(df, ranks, (50, 100), repeats=1, points=point)
     assert three["topk_performance"].count() == 3 * two["time_windows"].filter("used_for_modeling").count()
-    four = stages.categories(df, {"a": ["la"], "b": ["la", "current_cc_mean"]}, repeats=2, points=point)
+    four = stages.categories(df, {"a": ["la"], "b": ["la", "current_cc_mean"]}, repeats=1, points=point)
     assert {r.experiment for r in four["stage4_median_across_datasets"].collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         stages.categories(df, {"a": ["nothing"]}, 1, point)
