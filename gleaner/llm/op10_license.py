@@ -1,8 +1,9 @@
 """License scans by patience alignment.
 
 A text's words are aligned with each template's: words unique to both sides are anchors, the longest increasing
-subsequence of them is kept, and the gaps between kept anchors are aligned the same way, down to equal words at a gap's
-ends. Coverage is the share of template words that are aligned; a template is found where it reaches `least`, and its
+subsequence of them is kept, and the gaps between kept anchors are aligned the same way, down to equal words beside an
+anchor. Where the longest run of equal words in a gap has more words than the runs around its anchors (a notice that stands
+in the text twice leaves stray anchors or none), that run is kept instead. Coverage is the share of template words that are aligned; a template is found where it reaches `least`, and its
 span runs from the first to the last aligned word. Before aligning, a bound is tested that no alignment exceeds (template
 words that the text holds at all, repeats counted), so only templates that cannot reach `least` are passed over.
 
@@ -67,11 +68,12 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     todo = [(0, len(text), 0, len(template))]
     while todo:
         a, b, c, d = todo.pop()
-        head = 0
-        while a < b and c < d and text[a] == template[c]:
+        # Equal words count beside an anchor only; what the text itself begins or ends with may stand far from the notice.
+        left, right = c > 0, d < len(template)
+        while left and a < b and c < d and text[a] == template[c]:
             out.append((a, c))
-            a, c, head = a + 1, c + 1, head + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:
+            a, c = a + 1, c + 1
+        while right and a < b and c < d and text[b - 1] == template[d - 1]:
             b, d = b - 1, d - 1
             out.append((b, d))
         if a >= b or c >= d:
@@ -80,9 +82,11 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         seen = Counter(w for w in text[a:b] if w in wanted)
         place = {w: j for j, w in enumerate(template[c:d], c) if wanted[w] == 1 and seen[w] == 1}
         anchors = _increasing([(i, place[w]) for i, w in enumerate(text[a:b], a) if w in place])
-        if not anchors and head == 0 and seen:
-            # No word is unique to both: the template's run that starts at its rarest word in the text goes on greedily.
-            anchors = _greedy(text, template, a, b, c, d, seen)
+        agreed = _agreed(text, template, a, b, c, d, anchors)
+        if agreed < sum(min(n, seen[w]) for w, n in wanted.items()):
+            # A notice that stands twice leaves no unique words, or only stray ones: its longest run goes before them.
+            run = _longest_run(text, template, a, b, c, d)
+            anchors = run if len(run) > agreed else anchors
         if anchors:
             out.extend(anchors)
             edges = [(a - 1, c - 1), *anchors, (b, d)]
@@ -90,21 +94,36 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _greedy(text: list[str], template: list[str], a: int, b: int, c: int, d: int, seen: Counter) -> list[tuple[int, int]]:
-    """One anchor: of the places of the rarest shared word, the one whose neighbours agree longest."""
-    rare = min((w for w in template[c:d] if seen[w]), key=lambda w: seen[w])
-    best, pick = 0, None
-    for j in (j for j in range(c, d) if template[j] == rare):
-        for i in (i for i in range(a, b) if text[i] == rare):
-            n = 1
+def _agreed(text: list[str], template: list[str], a: int, b: int, c: int, d: int, anchors: list[tuple[int, int]]) -> int:
+    """Template words in runs of equal words around the anchors."""
+    done: set[int] = set()
+    for i, j in anchors:
+        if j not in done:
+            n = 0
             while i + n < b and j + n < d and text[i + n] == template[j + n]:
+                done.add(j + n)
+                n += 1
+            n = 1
+            while i - n >= a and j - n >= c and text[i - n] == template[j - n]:
+                done.add(j - n)
                 n += 1
-            m = 1
-            while i - m >= a and j - m >= c and text[i - m] == template[j - m]:
-                m += 1
-            if n + m > best:
-                best, pick = n + m, (i, j)
-    return [pick] if pick else []
+    return len(done)
+
+
+def _longest_run(text: list[str], template: list[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """The longest run of equal words (the first of several), as pairs of places."""
+    places: dict[str, list[int]] = {}
+    for j in range(c, d):
+        places.setdefault(template[j], []).append(j)
+    best, pick, ends = 0, (a, c), {}
+    for i in range(a, b):
+        now = {}
+        for j in places.get(text[i], ()):
+            n = now[j] = ends.get(j - 1, 0) + 1
+            if n > best:
+                best, pick = n, (i - n + 1, j - n + 1)
+        ends = now
+    return [(pick[0] + n, pick[1] + n) for n in range(best)]
 
 
 def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> list[dict]:

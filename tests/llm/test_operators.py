@@ -336,6 +336,20 @@ def test_alignment_is_patient():
     assert pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
 
 
+def test_doubled_notices():
+    """A notice that stands twice in a text is found whole, with and without an edit, whatever the text begins and ends with."""
+    wanted = {k: op10_license.words_of(v) for k, v in op10_license.TEMPLATES.items()}
+    for name, text in op10_license.TEMPLATES.items():
+        words = wanted[name]
+        for begin, end in (("", ""), ("page", "end"), (f"{words[0]} page of ours", f"the end {words[-1]}")):
+            a = len(op10_license.words_of(begin))
+            twice = {x["name"]: x for x in op10_license.scan(f"{begin} {text} and more {text} {end}", wanted)}
+            assert twice[name]["coverage"] == 1 and (twice[name]["begin"], twice[name]["end"]) == (a, a + len(words))
+            for at in (len(words) // 3, len(words) * 2 // 3):
+                edited = " ".join([*words[:at], "changed", *words[at + 1 :]])
+                assert len(op10_license.align(op10_license.words_of(f"{begin} {edited} and more {edited} {end}"), words)) >= len(words) - 1
+
+
 def test_licenses(docs, none, spark):
     full = op10_license.TEMPLATES["mit"]
     cases = spark.createDataFrame([(1, f"intro {full} outro"), (2, full.replace("merge", "join").replace("publish", "print")), (3, "Released under the MIT License."), (4, " ".join(full.split()[:20])), (5, None)], "doc_id long, text string")
