@@ -230,7 +230,10 @@ def label_spans(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
             short = [LETTERS.findall(x) if len(x) < LONG else None for x in texts]
             if m.langs:
                 m.learn(set().union(*(x for x in short if x)))
-            words = [_word_rows(m, [w] if w is not None else _parts(m, x)) if m.langs else None for w, x in zip(short, texts, strict=True)]
+            words: list = [None] * len(texts)
+            # Long texts come last: what they learn may clear the cache, and the short ones' words with it.
+            for i in sorted(range(len(texts)), key=lambda i: short[i] is None) if m.langs else []:
+                words[i] = _word_rows(m, [short[i]] if short[i] is not None else _parts(m, texts[i]))
             some = [i for i, w in enumerate(words) if w is not None]
             labels = dict(zip(some, viterbi([words[i][0] for i in some], switch), strict=True)) if some else {}
             for i, x in enumerate(texts):

@@ -174,11 +174,13 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, table = Splitter(pattern, usual), merge_table(path)
         for batch in (p for b in batches for p in pieces(b)):
-            out: dict[str, list] = {"n": [], "ids": [], "sha": [], "back": []}
+            out: dict[str, list] = {k: [None] * batch.num_rows for k in ("n", "ids", "sha", "back")}
             texts = [x or "" for x in batch.column("text").to_pylist()]
             short = [split.of(x).findall(x) if len(x) <= LONG else None for x in texts]
             table.learn(set().union(*(x for x in short if x)))
-            for x, words in zip(texts, short, strict=True):
+            # Long texts come last: what they learn may clear the cache, and the short ones' words with it.
+            for i in sorted(range(len(texts)), key=lambda i: short[i] is None):
+                x, words = texts[i], short[i]
                 n, ids, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
                 for part in [words] if words is not None else _cut(split.of(x), x):
                     if words is None:
@@ -191,10 +193,10 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
                         n += sum([r[1] for r in rows])
                         if with_ids:
                             ids.extend(np.array(said.split(), dtype=np.int32))
-                out["n"].append(n)
-                out["ids"].append(ids)
-                out["sha"].append(sha.hexdigest())
-                out["back"].append(back.hexdigest())
+                out["n"][i] = n
+                out["ids"][i] = ids
+                out["sha"][i] = sha.hexdigest()
+                out["back"][i] = back.hexdigest()
             columns = [batch.column("key"), pa.array(out["n"], pa.int64()), pa.array(out["sha"]), pa.array(out["back"])]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

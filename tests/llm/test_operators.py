@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -103,6 +104,24 @@ def test_language(docs, none, spark):
     assert set(op02_language.confident(docs).columns) == set(docs.columns)
 
 
+def test_language_long_text_between_short_ones(docs, spark, monkeypatch):
+    """A long text that clears the cache leaves the short ones' words in reach."""
+    learn = [(i, f"{t} " * 20, lang) for i, (t, lang) in enumerate([("the house was there", "en"), ("la maison est là", "fr")])]
+    frame = spark.createDataFrame(learn, "doc_id long, text string, lang string")
+    batch = pa.RecordBatch.from_pydict({"key": list(range(5)), "text": ["the house", "la maison est là " * 9, "house was", None, "maison"]})
+    model = op02_language.train(frame)
+    given = local(docs, monkeypatch)
+    monkeypatch.setattr(type(docs), "withColumnRenamed", lambda self, *a: self)
+    op02_language.label_spans(frame, model)
+    want = pa.Table.from_batches(given.f([batch])).to_pylist()
+    model = op02_language.Model(model.langs, model.codes, model.rates, model.scripts)
+    monkeypatch.setattr(op02_language, "LONG", 20)
+    monkeypatch.setattr(op02_language, "CACHE", 3)
+    op02_language.label_spans(frame, model)
+    got = pa.Table.from_batches(given.f([batch])).to_pylist()
+    assert got == want and [r["lang_pred"] for r in got] == ["en", "fr", "en", "und", "fr"]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     scores = [-rng.random((n, 3)).astype(np.float32) * 3 for n in (1, 5, 7, 2)]
@@ -287,6 +306,32 @@ def test_bpe_in_stretches(spark, monkeypatch):
     assert [x for p in cut for x in p] == op08_bpe.LATIN.findall(df.first().text) and whole.n_tokens > 0
 
 
+def local(df, monkeypatch):
+    """mapInArrow of frames gives its function (to be called here, where the module's bounds can be set)."""
+
+    def given(self, f, schema):
+        given.f = f
+        return self
+
+    monkeypatch.setattr(type(df), "mapInArrow", given)
+    return given
+
+
+def test_bpe_long_text_between_short_ones(docs, monkeypatch):
+    """A long text that clears the cache leaves the short ones' words in reach."""
+    rows = ["one two", "three four five six seven eight", "two one", None, "nine ten eleven twelve thirteen", "one"]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(6)), "text": rows})
+    given = local(docs, monkeypatch)
+    op08_bpe.encode(docs)
+    op08_bpe.merge_table.cache_clear()
+    want = pa.Table.from_batches(given.f([batch])).to_pylist()
+    monkeypatch.setattr(op08_bpe, "LONG", 10)
+    monkeypatch.setattr(op08_bpe, "CACHE", 3)
+    op08_bpe.encode(docs)
+    op08_bpe.merge_table.cache_clear()
+    assert pa.Table.from_batches(given.f([batch])).to_pylist() == want and len(want) == 6
+
+
 # 9
 
 
