@@ -571,17 +571,17 @@ def npsk_rank(spark, d):
 
 
 def _forest_rows(spark, d):
-    c = T.commits(spark, d).filter("dataset = '1-URGENT'")
+    c = T.commits(spark, d)
     month = F.month("date").cast("double")
     return c.withColumns({"size": F.col("x"), "la": F.col("x") * F.col("label") + F.col("author"), "month_mean": month})
 
 
 @query()
 def rf_mdi(spark, d):
-    """Forest importances per window, from one bootstrap of one grid point with few trees."""
+    """Forest importances per window of every dataset: the stage as it is, with its full grid and 20 bootstraps."""
     from gleaner.plans import stages
 
-    return stages.forest(_forest_rows(spark, d), ["size", "la", "month_mean"], bootstraps=1, points=[{"trees": 10, "features": "sqrt", "leaf": 1}])["raw_mdi"]
+    return stages.forest(_forest_rows(spark, d), ["size", "la", "month_mean"])["raw_mdi"]
 
 
 @query()
