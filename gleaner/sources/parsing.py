@@ -1,4 +1,4 @@
-"""Source files to methods, call sites, symbols and token counts, once per distinct blob.
+"""Source files to methods, call sites and imports, once per distinct blob.
 
 Python is read by the standard library's parser; other languages by a lexer that drops comments and strings and matches
 braces (or `end` words), driven by a profile. A file that cannot be read gives no rows.
