@@ -97,7 +97,7 @@ def _around(words: Column, at: Column, width: int) -> Column:
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Near matches (key, item, begin, agreed): windows of which a document holds at least `least` words at their offsets, the rarest term among them."""
+    """Near matches (key, item, begin, agreed): windows of which a document holds at least `least` words at their offsets. Every word of the documents is joined with every benchmark term."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.transform(words_of(F.col(item_text)), _plain).alias("words"))
     base = docs.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), words_of(F.col(text)).alias("words"))
     wins = _windows(items, width).select("item", "begin", "size", F.slice("words", F.col("begin") + 1, F.col("size")).alias("win"))
