@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 
 #: Words of most contracts: runs of anything but ASCII white space. bytes.split() without arguments cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with over one in HOT of all rows are joined by broadcast; there cannot be more than HOT of them.
+HOT = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Takes the shared folder from spark.checkpoint.dir; only a local session may do without one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-"))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder that all executors share, so lost executors cost no more than a reread."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleaner-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -32,38 +42,39 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, since texts may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batch whose texts have about `most` bytes; one row at least."""
+    for begin, end in bounds(batch.column(column), most):
+        yield batch.slice(begin, end - begin)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batch whose texts have about `most` bytes; one row at least."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+def bounds(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """First and last places of slices that have about `most` bytes; one row at least."""
+    sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
     begin = total = 0
     for i, n in enumerate(sizes):
         if i > begin and total + n > most:
-            yield batch.slice(begin, i - begin)
+            yield begin, i
             begin, total = i, 0
         total += n
     if len(sizes) > begin:
-        yield batch.slice(begin)
+        yield begin, len(sizes)
 
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def carried(columns: list[str]) -> list[Column]:
-    """Columns to pass through an Arrow function, under names that cannot clash with its own."""
-    return [F.col(f"`{c}`").alias(f"_carried_{i}") for i, c in enumerate(columns)]
-
-
-def carried_schema(df: DataFrame, columns: list[str]) -> str:
-    return "".join(f", _carried_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-
+def spread_join(rows: DataFrame, by: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with `by`, which holds each key once with the number of its rows (column `size`, dropped).
 
-def restored(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The carried columns alone, under their names."""
-    return df.select(*[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(columns)])
+    Keys with over one in HOT of all rows meet theirs by broadcast, at most HOT of them; so no task of the shuffled join
+    of all others holds more than that share of the rows for one key. `by` should be durable, it is read some times.
+    """
+    total = by.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(total // HOT, HOT)
+    heavy = by.filter(hot).drop(size)
+    if not heavy.limit(1).count():
+        return rows.join(by.drop(size), keys)
+    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(by.filter(~hot).drop(size), keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(others)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, durable, pieces, row_key, small_batches
+from gleaner.llm.common import documents, durable, pieces, row_key, spread_join
 from gleaner.llm.components import components
 
 RADIUS = 3
@@ -76,7 +76,6 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """Rows (key, fp)."""
-    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -203,8 +202,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius:
     roots = components(links(distinct.select("fp"), radius, tile), "a", "b")
     united = distinct.join(roots, distinct.fp == roots.node).groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(united, "root").select(F.col("node").alias("fp"), "component")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
+    classes = durable(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "rows"))
+    return spread_join(prints, classes, ["fp"], "rows").select(F.col("key").alias(key), "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, width: int = 3) -> DataFrame:
@@ -214,12 +213,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     distinct = durable(prints.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("least")))
     roots = components(links(distinct.select("fp"), radius, tile), "a", "b")
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("class"), "least")
-    kept = durable(classes.groupBy("class").agg(F.min("least").alias("least")).select(F.col("least.key").alias("kept_key"), F.col("least.rid").alias("kept_rid")))
-    rid = row_key(F.col(key), F.col(text))
-    out = docs.withColumn("_rid", rid).join(kept.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("_rid") == F.col("kept_rid")), "left_semi")
+    kept = durable(classes.groupBy("class").agg(F.min("least").alias("least")).select("least.key", "least.rid"))
+    rows = docs.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.struct("*").alias("row"))
+    out = rows.alias("a").join(kept.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.rid") == F.col("b.rid")), "left_semi")
     if prints.groupBy("key", "rid").count().filter("count > 1").limit(1).count():  # repeated rows: else there is nothing to choose from
-        out = out.dropDuplicates([key, "_rid"])
-    return out.drop("_rid")
+        out = out.dropDuplicates(["key", "rid"])
+    return out.select("row.*")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import documents, durable, pieces, sha256_hex, small_batches
+from gleaner.llm.common import documents, durable, pieces, sha256_hex, spread_join
 
 WIDTH = 35
 #: Words whose hashes give a window its anchor. Longer ones are rarer, shorter ones make fewer pieces.
@@ -80,18 +80,19 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
     """(key, rid, runs): per document with repeats, the compacted paths and the single repeated edges as runs (at, n) of edges."""
     docs, scratch = repeats.keyed(df, key, text), repeats.Scratch(df.sparkSession)
     found = scratch.keep(repeats.occurrences(docs, read, width, gram), "pieces")
-    counts = repeats.repeated_anchors(found).select("anchor", "branches")
-    chosen = scratch.keep(found.select("anchor", "key", "rid", "pos", "n", "times").join(counts, "anchor").drop("anchor"), "chosen")
-    scratch.drop("pieces")
-    small_batches(df, 1000)
+    counts = scratch.keep(repeats.repeated_anchors(found), "counts")
+    chosen = scratch.keep(spread_join(found.select("anchor", "key", "rid", "pos", "n", "times"), counts, ["anchor"], "n_pieces").drop("anchor"), "chosen")
+    scratch.drop("pieces", "counts")
     # A document's own pieces: as many as it is long.
-    branching = chosen.filter("branches").groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "times")).alias("paths"))
-    edges = scratch.keep(_edges(repeats.same_row(docs, branching), width), "edges")
-    twice = edges.groupBy("h", "g").agg(F.sum("times").alias("n")).filter("n > 1").select("h", "g")
-    single = edges.filter("times = 1").join(twice, ["h", "g"]).select("key", "rid", F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")).alias("run"))
+    branching = chosen.filter("branches")
+    n_paths = branching.count()
+    branching = branching.groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "times")).alias("paths"))
+    edges = scratch.keep(_edges(repeats.same_row(docs, branching, n_paths), width), "edges")
+    twice = scratch.keep(edges.groupBy("h", "g").agg(F.sum("times").alias("n")).filter("n > 1"), "twice")
+    single = spread_join(edges.filter("times = 1"), twice, ["h", "g"], "n").select("key", "rid", F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")).alias("run"))
     whole = chosen.filter("NOT branches OR times > 1").select("key", "rid", F.struct(F.col("pos").alias("at"), (F.col("n") * F.col("times")).alias("n")).alias("run"))
     spans = durable(whole.unionByName(single).groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
-    scratch.drop("chosen", "edges")
+    scratch.drop("chosen", "edges", "twice")
     return spans
 
 
@@ -100,7 +101,6 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     docs = repeats.keyed(df, key, text)
     spans = repeated_spans(df, key, text, width, gram)
     kind = df.schema[key].dataType.simpleString()
-    small_batches(df, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
@@ -126,7 +126,8 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"key {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string, spans array<struct<begin: long, end: long>>" * with_text
-    return repeats.same_row(docs, spans, "left").select("key", "text", "runs").mapInArrow(run, schema).withColumnRenamed("key", key)
+    entries = spans.agg(F.sum(F.size("runs"))).first()[0] or 0
+    return repeats.same_row(docs, spans, entries, "left").select("key", "text", "runs").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

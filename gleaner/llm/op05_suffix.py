@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
-from gleaner.llm.common import carried_schema, documents, durable, pieces, sha256_hex, small_batches
+from gleaner.llm.common import bounds, documents, durable, pieces, row_key, sha256_hex, spread_join
 
 WIDTH, GRAM = 200, 64
 #: Different pieces in a slot, about: few, so that a slot's arrays stay in the processor's cache and long byte groups have 16-bit ranks.
@@ -171,29 +171,29 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
     """(key, rid, runs): per document with repeats, runs (at, n) of repeated windows."""
     docs, scratch = repeats.keyed(df, key, text), repeats.Scratch(df.sparkSession)
     found = scratch.keep(repeats.occurrences(docs, read, width, gram), "pieces")
-    counts = repeats.repeated_anchors(found).select("anchor", "branches")
-    chosen = scratch.keep(found.join(counts, "anchor"), "chosen")
-    scratch.drop("pieces")
+    counts = scratch.keep(repeats.repeated_anchors(found), "counts")
+    chosen = scratch.keep(spread_join(found, counts, ["anchor"], "n_pieces"), "chosen")
+    scratch.drop("pieces", "counts")
 
     different = chosen.filter("branches").groupBy("anchor", "digest").agg(F.sum("times").alias("weight"), F.min(F.struct("key", "rid", "pos", "n")).alias("rep"))
     different = scratch.keep(different, "different")
-    by_anchor = different.groupBy("anchor").count()
-    slots = max(1, -(-different.count() // slot))
-    placed = different.join(by_anchor, "anchor").withColumn("slot", F.when(F.col("count") <= most, F.pmod(F.xxhash64("anchor"), F.lit(slots))).otherwise(-1))
+    by_anchor = scratch.keep(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), F.count(F.lit(1)).alias("rows")), "by_anchor")
+    n_different = different.count()
+    slots = max(1, -(-n_different // slot))
+    placed = spread_join(different, by_anchor, ["anchor"], "rows").withColumn("slot", F.when(F.col("count") <= most, F.pmod(F.xxhash64("anchor"), F.lit(slots))).otherwise(-1))
     reps = placed.groupBy("rep.key", "rep.rid").agg(F.collect_list(F.struct("anchor", "digest", "weight", "slot", "rep.pos", "rep.n")).alias("reps"))
-    small_batches(df, 1000)
-    texts = scratch.keep(_texts(repeats.same_row(docs, reps), width), "texts")
-    scratch.drop("different")
+    texts = scratch.keep(_texts(repeats.same_row(docs, reps, n_different), width), "texts")
 
     merged = texts.filter("slot >= 0").groupBy("slot").applyInArrow(_merge(width), f"anchor long, digest long, {_RUNS}")
     large = texts.filter("slot < 0")
     windows = _hashed(large, width)
     twice = windows.groupBy("h", "g").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("h", "g")
     counted = windows.join(twice, ["h", "g"]).groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("runs"))
-    verdicts = scratch.keep(merged.unionByName(counted).filter("size(runs) > 0"), "verdicts")
-    scratch.drop("texts")
+    found = merged.unionByName(counted).filter("size(runs) > 0").join(different.select("anchor", "digest", "weight"), ["anchor", "digest"])
+    verdicts = scratch.keep(found, "verdicts")
+    scratch.drop("texts", "different", "by_anchor")
 
-    parts = chosen.filter("branches AND times = 1").join(verdicts, ["anchor", "digest"]).select("key", "rid", F.explode(F.transform("runs", lambda r: F.struct((F.col("pos") + r["at"]).alias("at"), r["n"].alias("n")))).alias("run"))
+    parts = spread_join(chosen.filter("branches AND times = 1"), verdicts, ["anchor", "digest"], "weight").select("key", "rid", F.explode(F.transform("runs", lambda r: F.struct((F.col("pos") + r["at"]).alias("at"), r["n"].alias("n")))).alias("run"))
     whole = chosen.filter("NOT branches OR times > 1").select("key", "rid", F.struct(F.col("pos").alias("at"), (F.col("n") * F.col("times")).alias("n")).alias("run"))
     # A document's own runs: no more than it is long.
     spans = durable(whole.unionByName(parts).groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
@@ -201,42 +201,41 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width
     return spans
 
 
-def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, the remaining bytes (kept) and their whole characters (kept_text) if with_text, and the columns named in carry, numbered (see ``carried``)."""
-    docs = repeats.keyed(df, key, text, carry)
+def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, with_row: bool = False) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, the remaining bytes (kept) and their whole characters (kept_text) if with_text, and the row itself as a struct (row) if with_row."""
     spans = repeated_spans(df, key, text, width, gram)
-    kind = df.schema[key].dataType.simpleString()
-    small_batches(df, 1000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in pieces(b)):
-            out: list[tuple] = []
-            for text, runs in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("runs"), "at", "n"), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                b, e = repeats.covered(*(x.astype(np.int64) for x in runs), width)
-                edges = [0, *np.stack([b, e], axis=1).ravel().tolist(), len(data)]
-                left = b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((len(data), int((e - b).sum()), len(b), sha256_hex(left), left))
-            n, removed, count, sha, left = zip(*out, strict=True)
-            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)]
-            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, pa.array(left, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in left])], [*names, "kept", "kept_text"]
-            more = [f"_carried_{i}" for i in range(len(carry))]
-            columns, names = [*columns, *map(batch.column, more)], [*names, *more]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text + carried_schema(df, carry)
-    out = repeats.same_row(docs, spans, "left").drop("rid").mapInArrow(run, schema)
-    return out.withColumnRenamed("key", key)
+    entries = spans.agg(F.sum(F.size("runs"))).first()[0] or 0
+    docs = df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.struct("*" if with_row else F.col(text)).alias("row"))
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, runs in batches:
+            for x, y in bounds(texts):
+                out: list[tuple] = []
+                for t, spans in zip(texts.slice(x, y - x).to_pylist(), repeats.lists(runs.slice(x, y - x), "at", "n"), strict=True):
+                    data = (t or "").encode("utf-8", "surrogatepass")
+                    b, e = repeats.covered(*(v.astype(np.int64) for v in spans), width)
+                    edges = [0, *np.stack([b, e], axis=1).ravel().tolist(), len(data)]
+                    left = b"".join([data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)])
+                    out.append((len(data), int((e - b).sum()), len(b), sha256_hex(left), left))
+                n, removed, count, sha, left = zip(*out, strict=True)
+                columns, names = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if with_text:
+                    columns, names = [*columns, pa.array(left, pa.binary()), pa.array([v.decode("utf-8", "ignore") for v in left])], [*names, "kept", "kept_text"]
+                yield pa.StructArray.from_arrays(columns, names)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string" * with_text
+    cut = F.arrow_udf(run, schema).asNondeterministic()
+    out = repeats.same_row(docs, spans, entries, "left").select("key", "row", cut(F.col("row").getField(text), "runs").alias("cut"))
+    return out.select(F.col("key").alias(key), "cut.*", *["row"] * with_row)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes removed from text, and n_chars to match; characters that lost some of their bytes go entirely. Null texts stay null."""
-    out = remove(docs.withColumn("_was_null", F.col("text").isNull()), carry=[*docs.columns, "_was_null"])
-    text = F.when(~F.col(f"_carried_{len(docs.columns)}"), F.col("kept_text"))
+    out = remove(docs, with_row=True)
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept_text"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[new.get(c, F.col(f"_carried_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

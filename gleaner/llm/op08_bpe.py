@@ -3,13 +3,19 @@
 Each Python worker holds one in-memory DuckDB database with the merge table: (left, right, merged) for every vocabulary
 entry and every cut of it into two entries. A batch's new pretokens become token-position rows. A recursive query joins
 neighbouring rows with the merge table and contracts in every word, again and again, the leftmost pair of minimum rank,
-until no pair of any word merges. In pretokens of over 256 bytes further occurrences of that pair that don't overlap are
-contracted in the same step if no pair with the merged token has a lower rank, so nothing that the merge creates could come before them
-(column ``safe``). Ordered aggregation turns the rows into ids and bytes again.
-Results for pretokens are kept in a bounded cache, so later batches query new pretokens only.
+until no pair of any word merges. Ordered aggregation turns the rows into ids and bytes again. Results for pretokens are
+kept in a bounded cache, so later batches query new pretokens only.
+
+A pretoken of more than SHORT bytes is cut into parts that the same query contracts as words of their own, all in one run.
+Contraction of a whole never crosses the bounds between tokens t1 t2 ... if contraction of each neighbouring two, alone,
+leaves just those two: the contractions inside both happen in the same order in the pair as in the whole, so a pair across
+the bound would come first in the pair as well. So parts are joined two by two: where the tokens at a bound are not such a
+pair, some tokens on either side of it are contracted afresh, more of them until the bounds on both sides hold. Steps and
+rows are linear in the pretoken, apart from periodic ones whose tokens fall differently in every part (parts begin at a
+fixed phase of runs with a period up to 16 bytes, so theirs agree).
 
 Defined results: a null text counts as empty (no tokens, empty bytes); white space, repeated rows and texts of any
-length are ordinary input; an empty table gives an empty result; other columns are ignored.
+length, unbroken ones included, are ordinary input; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -28,16 +34,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, pieces, small_batches
+from gleaner.llm.common import documents, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pretokens remembered by a worker before it starts anew.
 CACHE = 500_000
 #: Texts of more characters are cut into pretokens a piece at a time.
 LONG = 1 << 20
-
-#: Pretokens of more bytes go to EACH_OCCURRENCE, which needs fewer steps for them.
-SHORT = 256
+#: Pretokens of more bytes are cut into parts of at most so many.
+SHORT = 64
+#: Bytes beside a bound that are contracted whole to make it hold, at most; beyond, see MergeTable._append.
+WHOLE = 192
+#: Rows that one recursive query may make, over all its steps: some 100 MB.
+ROWS = 1_500_000
 
 #: One row a token: its place and id, the place and id of the next one, and a key that orders pairs by rank, then place.
 LEFTMOST = """
@@ -58,29 +67,7 @@ WITH RECURSIVE s(step, w, pos, id, npos, nid, k) AS (
    FROM touched c LEFT JOIN merges m ON m.l = c.id AND m.r = c.nid))
 """
 
-EACH_OCCURRENCE = """
-WITH RECURSIVE s(step, w, pos, id, merged, safe) AS (
-  SELECT 0, s.w, s.pos, s.id, m.merged, m.safe FROM seed s LEFT JOIN merges m ON m.l = s.id AND m.r = s.nid
-  UNION ALL
-  (WITH best AS (
-     SELECT *, min(merged) OVER (PARTITION BY w) AS least FROM s),
-   hits AS (
-     SELECT *, coalesce(merged = least AND (safe OR i = min(CASE WHEN merged = least THEN i END) OVER (PARTITION BY w)), false) AS hit
-     FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS i FROM best WHERE least IS NOT NULL)),
-   runs AS (
-     SELECT *, i - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS run FROM hits),
-   chosen AS (
-     SELECT *, hit AND row_number() OVER (PARTITION BY w, hit, run ORDER BY pos) % 2 = 1 AS take FROM runs),
-   paired AS (
-     SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), false) AS swallowed FROM chosen),
-   rest AS (
-     SELECT step + 1 AS step, w, pos, CASE WHEN take THEN least ELSE id END AS id FROM paired WHERE NOT swallowed),
-   nexts AS (
-     SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM rest)
-   SELECT n.step, n.w, n.pos, n.id, m.merged, m.safe FROM nexts n LEFT JOIN merges m ON m.l = n.id AND m.r = n.nxt))
-"""
-
-#: The rows of each pretoken's last step, aggregated in order: the database runs one thread, so string_agg meets the sorted rows one after another.
+#: The rows of each word's last step, aggregated in order: the database runs one thread, so string_agg meets the sorted rows one after another.
 ENDED = """
 SELECT w, string_agg(id::VARCHAR, ' ') AS ids, count(*) AS n, unhex(string_agg(hex, '')) AS bytes
 FROM (SELECT w, pos, id, hex FROM steps JOIN (SELECT w, max(step) AS step FROM steps GROUP BY w) USING (w, step)
@@ -88,6 +75,33 @@ FROM (SELECT w, pos, id, hex FROM steps JOIN (SELECT w, max(step) AS step FROM s
 GROUP BY w
 """
 
+DECODED = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) FROM given JOIN vocabulary USING (id) GROUP BY w"
+#: Ids that one query decodes.
+DECODE = 100_000
+
+
+def starts(data: bytes, most: int = SHORT) -> list[int]:
+    """Where to cut: parts of at most `most` bytes, which in a run of period p (up to 16) begin at one phase, a power of two periods apart."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    n = len(b)
+    able = np.ones(n, dtype=bool)  # may a part begin here?
+    taken = np.zeros(n, dtype=bool)
+    for p in range(1, 17):
+        same = np.concatenate([np.zeros(min(p, n), dtype=bool), b[p:] == b[:-p]])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))).reshape(-1, 2)
+        step = p << ((most // 2 // p).bit_length() - 1)
+        for x, y in edge[edge[:, 1] - edge[:, 0] >= 2 * step].tolist():
+            x = max(x - p, 0)
+            free = ~taken[x:y]
+            able[x:y] &= ~free | (np.arange(y - x) % step == 0)
+            taken[x:y] = True
+    last = np.maximum.accumulate(np.where(able, np.arange(n), -1)).tolist()  # the last place up to here where a part may begin
+    out = [0]
+    while out[-1] + most < n:
+        cut = last[out[-1] + most]
+        out.append(cut if cut > out[-1] else out[-1] + most)
+    return out
+
 
 class MergeTable:
     """A vocabulary of ranks in DuckDB, with a cache from pretoken to (ids, number of ids, decoded bytes)."""
@@ -98,40 +112,136 @@ class MergeTable:
         rows = [
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
-        early = {x for l, r, m in rows for x in (l, r) if x > m}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        # Queries are sized to stay far below the limit, so nothing is ever spilled to a local folder.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         l, r, m = (np.array(x, dtype=np.int32) for x in zip(*rows, strict=True))
-        self._table("merges", pa.table({"l": l, "r": r, "merged": m, "safe": [x not in early for x in m.tolist()]}))
+        self._table("merges", pa.table({"l": l, "r": r, "merged": m}))
+        self.bytes_of = {r: t for t, r in ranks.items()}
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("_rows", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _rows")
         self.db.unregister("_rows")
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that the cache lacks, some thousands at a time."""
-        new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = sorted(words)
-        long = [w for w in new if len(w.encode()) > SHORT]
-        it = iter([w for w in new if len(w.encode()) <= SHORT])
-        for query, part in chain(((LEFTMOST, p) for p in iter(lambda: list(islice(it, 40_000)), [])), ((EACH_OCCURRENCE, [w]) for w in long)):
-            raw = [x.encode() for x in part]
+    def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, int, bytes]]:
+        """(number of the word, ids, number of ids, decoded bytes), as many words to a query as ROWS allows."""
+        cost = np.cumsum([len(x) * (len(x) + 1) // 2 for x in words])
+        begin = 0
+        while begin < len(words):
+            end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + ROWS, side="right")))
+            raw = words[begin:end]
             n = np.array([len(x) for x in raw])
             first = np.cumsum(n) - n
             ids = self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)]
             pos = (np.arange(len(ids)) - np.repeat(first, n)).astype(np.int32)
             after = np.append(ids[1:], np.int32(-1))
             after[np.cumsum(n) - 1] = -1
-            w = np.repeat(np.arange(len(raw), dtype=np.int32), n)
+            w = np.repeat(np.arange(begin, end, dtype=np.int32), n)
             self.db.register("seed", pa.table({"w": w, "pos": pos, "id": ids, "npos": pos + np.int32(1), "nid": after}))
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE steps AS {query} SELECT step, w, pos, id FROM s")
-            self.known.update((part[i], (said, k, data)) for i, said, k, data in self.db.execute(ENDED).fetchall())
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE steps AS {LEFTMOST} SELECT step, w, pos, id FROM s")
+            yield from self.db.execute(ENDED).fetchall()
             self.db.unregister("seed")
+            begin = end
+
+    def ids_of(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids by word, each contracted whole."""
+        different = list(dict.fromkeys(words))
+        return {different[i]: [int(x) for x in said.split()] for i, said, _, _ in self.contract(different)}
+
+    def _in_parts(self, word: bytes) -> list[int]:
+        cut = starts(word)
+        parts = [word[a:b] for a, b in zip(cut, [*cut[1:], len(word)], strict=True)]
+        said = self.ids_of(parts)
+        rows = [said[x] for x in parts]
+        while len(rows) > 1:
+            rows = self._join(rows[0::2], rows[1::2]) + rows[len(rows) // 2 * 2 :]
+        return rows[0]
+
+    def _join(self, left: list[list[int]], right: list[list[int]]) -> list[list[int]]:
+        """Ids of left[i] and right[i] together. A left one may be over: it has none to join."""
+        out: list = [None] * len(right)
+        width = dict.fromkeys(range(len(right)), 0)
+        while width:
+            text = lambda ids: b"".join([self.bytes_of[x] for x in ids])
+            todo = list(width)
+            given = {i: text(left[i][-width[i] :] + right[i][: width[i]]) for i in todo if width[i]}
+            for i in [i for i, x in given.items() if len(x) > WHOLE]:
+                del width[i], given[i]
+                todo.remove(i)
+                out[i] = self._append(list(left[i]), text(right[i]))
+            said = self.ids_of(list(given.values()))
+            middles = {i: said[given[i]] if i in given else [] for i in todo}
+            bounds = {}
+            for i in todo:
+                k, m = width[i], middles[i]
+                a, b = left[i][: max(0, len(left[i]) - k)], right[i][k:]
+                bounds[i] = [(x[-1], y[0]) for x, y in ((a, m), (m, b)) if x and y] if m else [(a[-1], b[0])]
+            self._learn_pairs({p for x in bounds.values() for p in x})
+            for i in todo:
+                if all(self.pairs[p] for p in bounds[i]):
+                    k = width.pop(i)
+                    out[i] = left[i][: max(0, len(left[i]) - k)] + middles[i] + right[i][k:]
+                else:
+                    width[i] = max(1, 2 * width[i])
+            if len(self.pairs) > CACHE:
+                self.pairs.clear()
+        return out
+
+    def _learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
+        """Which two tokens, next to each other, contract to just those two."""
+        new = sorted(pairs - self.pairs.keys())
+        text = {(a, b): self.bytes_of[a] + self.bytes_of[b] for a, b in new}
+        said = self.ids_of(list(text.values()))
+        self.pairs.update((p, said[x] == list(p)) for p, x in text.items())
+
+    def _append(self, ids: list[int], data: bytes) -> list[int]:
+        """Ids of a word that begins with `ids` and goes on with `data`, a part at a time from left to right; for parts whose tokens don't fall into step."""
+        said: dict[bytes, list[int]] = {}
+        for a in range(0, len(data), SHORT):
+            part, k = data[a : a + SHORT], 0
+            while True:
+                window = b"".join([self.bytes_of[x] for x in ids[len(ids) - k :]]) + part
+                if window not in said:
+                    said = {} if len(said) > 10_000 else said
+                    said |= self.ids_of([window])
+                fresh = said[window]
+                if k < len(ids):
+                    self._learn_pairs({(ids[-k - 1], fresh[0])})
+                if k >= len(ids) or self.pairs[(ids[-k - 1], fresh[0])]:
+                    break
+                k = min(len(ids), max(1, 2 * k))
+            ids[len(ids) - k :] = fresh
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that the cache lacks."""
+        new = sorted(words - self.known.keys())
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = sorted(words)
+        short = [w for w in new if len(w.encode()) <= SHORT]
+        self.known.update((short[i], (said, n, data)) for i, said, n, data in self.contract([w.encode() for w in short]))
+        for w in new:
+            if len(w.encode()) > SHORT:
+                ids = self._in_parts(w.encode())
+                self.known[w] = (" ".join(map(str, ids)), len(ids), self.decoded(pa.array([ids], pa.list_(pa.int32())))[0])
+
+    def decoded(self, ids: pa.ListArray) -> list[bytes | None]:
+        """The bytes that each list of ids stands for, by ordered aggregation; a null list's are null."""
+        size = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        owner, flat = np.repeat(np.arange(len(ids)), size), ids.flatten()
+        parts: list[list[bytes]] = [[] for _ in size]
+        for a in range(0, len(flat), DECODE):
+            here = flat.slice(a, DECODE)
+            self.db.register("given", pa.table({"w": owner[a : a + DECODE], "pos": np.arange(len(here)), "id": here}))
+            for w, data in self.db.execute(DECODED).fetchall():
+                parts[w].append(data)
+            self.db.unregister("given")
+        return [b"".join(x) if ok else None for x, ok in zip(parts, ids.is_valid().to_pylist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -169,7 +279,6 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     path, usual = path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     pattern = pattern or usual
     kind = df.schema[key].dataType.simpleString()
-    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, table = Splitter(pattern, usual), merge_table(path)
@@ -208,24 +317,17 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
 
 
 def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Per row: key and the bytes that its ids stand for (null ids: null). Rows of one batch are decoded by one ordered aggregation."""
+    """Per row: key and the bytes that its ids stand for (null ids: null). Ids of many rows are decoded by one ordered aggregation."""
     import public_tokenizers
 
     path = path or public_tokenizers.path(VOCABULARY)
-    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merge_table(path)
         for batch in batches:
-            n = batch.num_rows
-            table.db.register("given", pa.table({"w": np.arange(n), "ids": batch.column("ids")}))
-            got = table.db.execute(
-                "WITH p AS (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM given), "
-                "d AS (SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM p JOIN vocabulary USING (id) GROUP BY w) "
-                "SELECT CASE WHEN ids IS NULL THEN NULL ELSE coalesce(bytes, ''::BLOB) END FROM given LEFT JOIN d USING (w) ORDER BY w"
-            ).fetchall()
-            table.db.unregister("given")
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x[0] for x in got], pa.binary())], [key, "decoded"])
+            for a in range(0, batch.num_rows, 500):
+                here = batch.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([here.column("key"), pa.array(table.decoded(here.column("ids")), pa.binary())], [key, "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import durable, pieces, small_batches
+from gleaner.llm.common import durable, pieces
 
 LEVEL = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
 INTRODUCES = re.compile(r"^.{0,200}(?:wrote|schrieb|a écrit|escribió)\s*:\s*$")
@@ -66,7 +66,6 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, int]], list[tuple
 
 def parsed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv, turn, role, body, quoted, own, deepest) per message."""
-    small_batches(df, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quoted = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64()), ("n", pa.int32())]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import carried, durable, row_key, small_batches
+from gleaner.llm.common import checkpoint_folder, pieces, row_key
 
 #: Windows handled at once; pieces end there, which costs a closer look but changes no result.
 STRETCH = 1 << 17
@@ -126,7 +126,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        durable(spark.range(1))  # names a checkpoint folder if none is set
+        checkpoint_folder(spark)
         self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -138,23 +138,21 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # unreferenced shuffle files go as well
 
 
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
 
 
-def keyed(df: DataFrame, key: str, text: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    return df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"), *carried(carry))
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
 
 
 def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFrame:
     """(anchor, digest, key, rid, pos, n, times): the pieces of keyed documents."""
-    small_batches(docs, 1000)
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             found, rows = [], []
             for i, symbols in read(batch):
                 got = find_pieces(symbols, width, gram)
@@ -178,7 +176,13 @@ def repeated_anchors(pieces: DataFrame) -> DataFrame:
     return agg.filter("n_pieces > 1").select("anchor", "n_pieces", (F.col("low") != F.col("high")).alias("branches"))
 
 
-def same_row(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Joins on rid and key; b's columns are called other_rid and other_key and go. b has a row per document, so its hash table is the smaller."""
+#: Entries of a partition's hash table up to which a join by row is hashed; beyond, it is sorted, which can spill.
+HASHED = 1_000_000
+
+
+def same_row(a: DataFrame, b: DataFrame, entries: int, how: str = "inner") -> DataFrame:
+    """Joins on rid and key; b's columns are called other_rid and other_key and go. b has a row per document and `entries` list entries in all."""
     b = b.withColumnsRenamed({"rid": "other_rid", "key": "other_key"})
-    return a.join(b.hint("shuffle_hash"), (a.rid == b.other_rid) & a.key.eqNullSafe(b.other_key), how).drop("other_rid", "other_key")
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = b.hint("shuffle_hash") if entries <= HASHED * parts else b
+    return a.join(b, (a.rid == b.other_rid) & a.key.eqNullSafe(b.other_key), how).drop("other_rid", "other_key")
