@@ -44,7 +44,7 @@ LONG = 1 << 20
 #: Pretokens of more bytes are cut into parts of at most so many.
 SHORT = 64
 #: Bytes beside a bound that are contracted whole to make it hold, at most; beyond, see MergeTable._append.
-WHOLE = 192
+WHOLE = 512
 #: Rows that one recursive query may make, over all its steps: some 100 MB.
 ROWS = 1_500_000
 
@@ -272,6 +272,31 @@ def _cut(find: re.Pattern | regex.Pattern, text: str) -> Iterator[list[str]]:
             yield part
 
 
+def coded(split: Splitter, table: MergeTable, texts: list[str | None], with_ids: bool) -> list[tuple[int, str, str, np.ndarray]]:
+    """(number of ids, their digest, the decoded bytes' digest, ids if wanted) of each text."""
+    texts = [x or "" for x in texts]
+    short = [split.of(x).findall(x) if len(x) <= LONG else None for x in texts]
+    table.learn(set().union(*(x for x in short if x)))
+    out: list = [None] * len(texts)
+    # Long texts come last: what they learn may clear the cache, and the short ones' words with it.
+    for i in sorted(range(len(texts)), key=lambda i: short[i] is None):
+        x, words = texts[i], short[i]
+        n, ids, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
+        for part in [words] if words is not None else _cut(split.of(x), x):
+            if words is None:
+                table.learn(set(part))
+            rows = [table.known[w] for w in part]
+            if rows:
+                said = " ".join([r[0] for r in rows])
+                sha.update(f" {said}".encode() if n else said.encode())
+                back.update(b"".join([r[2] for r in rows]))
+                n += sum([r[1] for r in rows])
+                if with_ids:
+                    ids.append(np.array(said.split(), dtype=np.int32))
+        out[i] = (n, sha.hexdigest(), back.hexdigest(), np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
+    return out
+
+
 def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if with_ids."""
     import public_tokenizers
@@ -283,33 +308,11 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, table = Splitter(pattern, usual), merge_table(path)
         for batch in (p for b in batches for p in pieces(b)):
-            out: dict[str, list] = {k: [None] * batch.num_rows for k in ("n", "ids", "sha", "back")}
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            short = [split.of(x).findall(x) if len(x) <= LONG else None for x in texts]
-            table.learn(set().union(*(x for x in short if x)))
-            # Long texts come last: what they learn may clear the cache, and the short ones' words with it.
-            for i in sorted(range(len(texts)), key=lambda i: short[i] is None):
-                x, words = texts[i], short[i]
-                n, ids, sha, back = 0, [], hashlib.sha256(), hashlib.sha256()
-                for part in [words] if words is not None else _cut(split.of(x), x):
-                    if words is None:
-                        table.learn(set(part))
-                    rows = [table.known[w] for w in part]
-                    if rows:
-                        said = " ".join([r[0] for r in rows])
-                        sha.update(f" {said}".encode() if n else said.encode())
-                        back.update(b"".join([r[2] for r in rows]))
-                        n += sum([r[1] for r in rows])
-                        if with_ids:
-                            ids.extend(np.array(said.split(), dtype=np.int32))
-                out["n"][i] = n
-                out["ids"][i] = ids
-                out["sha"][i] = sha.hexdigest()
-                out["back"][i] = back.hexdigest()
-            columns = [batch.column("key"), pa.array(out["n"], pa.int64()), pa.array(out["sha"]), pa.array(out["back"])]
+            n, sha, back, ids = zip(*coded(split, table, batch.column("text").to_pylist(), with_ids), strict=True)
+            columns = [batch.column("key"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array(out["ids"], pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
