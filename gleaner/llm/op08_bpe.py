@@ -76,6 +76,7 @@ GROUP BY w
 """
 
 DECODED = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) FROM given JOIN vocabulary USING (id) GROUP BY w"
+NO_IDS = np.zeros(0, dtype=np.int32)
 #: Ids that one query decodes.
 DECODE = 100_000
 

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter
 
@@ -96,30 +98,70 @@ def test_language(docs, none, spark):
     got = op02_language.label_spans(mixed, model).orderBy("doc_id", "lang_pred").collect()
     assert [(r.doc_id, r.lang_pred) for r in got] == [(1, "en"), (2, "und"), (3, "und"), (4, "en"), (4, "ru")]
     assert [s["lang"] for s in got[0].spans] == ["en", "fr"] and 0.5 < got[0].score < 1 and got[1].score == 0
-    labelled = op02_language.label_spans(docs, model, carry=["key", "text"])
+    labelled = op02_language.label_spans(docs, model)
     assert labelled.count() == docs.count()
-    assert {r.lang_pred for r in labelled.filter("_carried_1 IS NULL OR doc_id IN (7, 8, 13)").collect()} == {"und"}
+    assert {r.lang_pred for r in labelled.filter("doc_id IN (6, 7, 8, 13)").collect()} == {"und"}
     assert op02_language.label_spans(none, op02_language.train(none)).count() == 0
     assert {r.lang_pred for r in op02_language.label_spans(docs, op02_language.train(none)).collect()} == {"und"}
     assert set(op02_language.confident(docs).columns) == set(docs.columns)
 
 
-def test_language_long_text_between_short_ones(docs, spark, monkeypatch):
-    """A long text that clears the cache leaves the short ones' words in reach."""
-    learn = [(i, f"{t} " * 20, lang) for i, (t, lang) in enumerate([("the house was there", "en"), ("la maison est là", "fr")])]
-    frame = spark.createDataFrame(learn, "doc_id long, text string, lang string")
-    batch = pa.RecordBatch.from_pydict({"key": list(range(5)), "text": ["the house", "la maison est là " * 9, "house was", None, "maison"]})
-    model = op02_language.train(frame)
-    given = local(docs, monkeypatch)
-    monkeypatch.setattr(type(docs), "withColumnRenamed", lambda self, *a: self)
-    op02_language.label_spans(frame, model)
-    want = pa.Table.from_batches(given.f([batch])).to_pylist()
-    model = op02_language.Model(model.langs, model.codes, model.rates, model.scripts)
+def test_letters_and_marks():
+    """A letter is of category L; marks go with it, and nothing else makes a word."""
+    for text in ("² ½ ①", "Ⅷ", "1 _ 2", "", "\u0301"):
+        assert op02_language.words_in(text).findall(text) == []
+    assert op02_language.words_in("हिन्दी").findall("हिन्दी बांग्ला x²y") == ["हिन्दी", "बांग्ला", "x", "y"]
+    assert op02_language.words_in("é").findall("été l’an a_b ª") == ["été", "l", "an", "a", "b", "ª"]
+    latin = "".join(map(chr, range(1, 0x250)))
+    assert op02_language.LATIN.findall(latin) == op02_language.WORDS.findall(latin)
+
+
+def small_model(spark, **more):
+    learn = [(i, f"{t} " * 20, lang) for i, (t, lang) in enumerate([("the house was there", "en"), ("la maison est là", "fr"), ("das haus war dort", "de")])]
+    return op02_language.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"), **more)
+
+
+def brute_label(m, text, switch):
+    """The best language of each word, over all paths."""
+    words = op02_language.WORDS.findall(text)
+    rates = [m._rate([w])[0] for w in words]
+    best = max(itertools.product(range(len(m.langs)), repeat=len(words)), key=lambda p: (sum(float(r[x]) for r, x in zip(rates, p, strict=True)) - switch * sum(x != y for x, y in zip(p, p[1:], strict=False)), [-x for x in p]))
+    return [m.langs[x] for x in best], list(map(len, words))
+
+
+def test_labels_against_all_paths(spark):
+    m, rng = small_model(spark), random.Random(4)
+    pool = "the house was there la maison est là das haus war dort other".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 8))) for _ in range(40)] + ["the house was la maison est", None, "12"]
+    for switch in (0.5, 3.0, 8.0):
+        for text, (said, score, spans) in zip(texts, op02_language.rate(m, texts, switch), strict=True):
+            if not text or not op02_language.WORDS.findall(text):
+                assert (said, score, spans) == ("und", 0.0, [])
+                continue
+            label, sizes = brute_label(m, text, switch)
+            share = {x: sum(n for y, n in zip(label, sizes, strict=True) if y == x) for x in set(label)}
+            assert share[said] == max(share.values()) and score == pytest.approx(share[said] / sum(sizes))
+            assert [x["lang"] for x in spans] == [k for k, _ in itertools.groupby(label)]
+            assert [len(op02_language.WORDS.findall(text[x["begin"] : x["end"]])) for x in spans] == [len(list(g)) for _, g in itertools.groupby(label)]
+
+
+def test_language_long_text_between_short_ones(spark, monkeypatch):
+    """A long text that clears the cache leaves the short ones' words in reach, and is rated as a short one is."""
+    texts = ["the house", "la maison est là " * 9 + "the house was there " * 5, "house was", None, "maison"]
+    want = list(op02_language.rate(small_model(spark), texts))
+    m = small_model(spark)
     monkeypatch.setattr(op02_language, "LONG", 20)
     monkeypatch.setattr(op02_language, "CACHE", 3)
-    op02_language.label_spans(frame, model)
-    got = pa.Table.from_batches(given.f([batch])).to_pylist()
-    assert got == want and [r["lang_pred"] for r in got] == ["en", "fr", "en", "und", "fr"]
+    assert list(op02_language.rate(m, texts)) == want and [x[0] for x in want] == ["en", "fr", "en", "und", "fr"]
+    assert [x["lang"] for x in want[1][2]] == ["fr", "en"]
+
+
+def test_language_sample_is_bounded(spark):
+    """A key that repeats brings one row, and a language with many rows some of them."""
+    rows = [(1, f"un deux {i}", "fr") for i in range(300)] + [(i, f"one two {i % 7}", "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = op02_language.train(df, per_lang=20)
+    assert m.langs == ["en", "fr"] and len(op02_language.train(df, size=10).codes) <= 10
 
 
 def test_viterbi_is_exact():
@@ -197,8 +239,6 @@ def test_suffix_in_pipeline(docs):
 
 @pytest.mark.parametrize("shard", [2, 7, 100])
 def test_merge_of_transforms(shard):
-    import random
-
     rng = random.Random(shard)
     for width in (4, 6, 10):
         base = bytes(rng.choice(b"abc") for _ in range(80))
@@ -273,8 +313,28 @@ def test_decontamination(docs, none, spark):
     assert op07_decontaminate.clean(docs, bench).count() == sum(not brute(r[1])[-1] for r in texts())
     assert op07_decontaminate.judge(none, bench).count() == 0
     assert op07_decontaminate.judge(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    near = op07_decontaminate.proximity(docs, bench.filter("item_id = 1"), least=10)
-    assert near.filter("agreed = 13").count() >= 28
+    found = op07_decontaminate.match(docs, bench.filter("item_id = 1"))
+    assert found.filter("exact").count() >= 28
+
+
+def test_decontamination_in_blocks(docs, spark, monkeypatch):
+    """Terms that are broadcast a few at a time give the same rows."""
+    long_text = next(r[1] for r in texts() if r[0] == 14)
+    bench = spark.createDataFrame([(1, " ".join(long_text.split()[100:140])), (2, "TWO words")], "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"]
+    want = rows_of(op07_decontaminate.judge(docs, bench), *columns)
+    monkeypatch.setattr(op07_decontaminate, "BLOCK", 12)
+    assert rows_of(op07_decontaminate.judge(docs, bench), *columns) == want
+
+
+def test_proximity(spark):
+    """A passage with some words changed is near, not exact; one without its rarest terms is neither."""
+    item = [f"w{i}" for i in range(13)]
+    changed = lambda *at: " ".join("z" if i in at else w for i, w in enumerate(item))
+    common = " ".join(item[2:]) + " x"
+    rows = [(1, "a b " + changed(5) + " c"), (2, changed(4, 6, 8)), (3, changed(4, 6, 8, 9)), (4, changed(0)), (5, changed()), *[(10 + i, common) for i in range(3)]]
+    found = op07_decontaminate.match(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {(r.key, r.begin, r.agreed, r.exact) for r in found.collect()} == {(1, 2, 12, False), (2, 0, 10, False), (5, 0, 13, True)}
 
 
 # 8
@@ -306,30 +366,43 @@ def test_bpe_in_stretches(spark, monkeypatch):
     assert [x for p in cut for x in p] == op08_bpe.LATIN.findall(df.first().text) and whole.n_tokens > 0
 
 
-def local(df, monkeypatch):
-    """mapInArrow of frames gives its function (to be called here, where the module's bounds can be set)."""
-
-    def given(self, f, schema):
-        given.f = f
-        return self
+def tiktoken_encoding():
+    import public_tokenizers
+    import tiktoken
 
-    monkeypatch.setattr(type(df), "mapInArrow", given)
-    return given
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_long_text_between_short_ones(docs, monkeypatch):
+def test_bpe_long_text_between_short_ones(spark, monkeypatch):
     """A long text that clears the cache leaves the short ones' words in reach."""
+    import public_tokenizers
+
+    table, split = op08_bpe.MergeTable(public_tokenizers.path("byte_bpe_50k.tiktoken")), op08_bpe.Splitter(public_tokenizers.PATTERN, public_tokenizers.PATTERN)
     rows = ["one two", "three four five six seven eight", "two one", None, "nine ten eleven twelve thirteen", "one"]
-    batch = pa.RecordBatch.from_pydict({"key": list(range(6)), "text": rows})
-    given = local(docs, monkeypatch)
-    op08_bpe.encode(docs)
-    op08_bpe.merge_table.cache_clear()
-    want = pa.Table.from_batches(given.f([batch])).to_pylist()
+    want = list(op08_bpe.coded(split, table, rows, False))
     monkeypatch.setattr(op08_bpe, "LONG", 10)
     monkeypatch.setattr(op08_bpe, "CACHE", 3)
-    op08_bpe.encode(docs)
-    op08_bpe.merge_table.cache_clear()
-    assert pa.Table.from_batches(given.f([batch])).to_pylist() == want and len(want) == 6
+    table.known.clear()
+    assert list(op08_bpe.coded(split, table, rows, False)) == want and [x[0] for x in want] == [len(tiktoken_encoding().encode_ordinary(r or "")) for r in rows]
+
+
+def test_bpe_unbroken_runs():
+    """Pretokens of any length, as tiktoken has them: random letters, digits and characters, runs and periods."""
+    import public_tokenizers
+
+    table, enc, rng = op08_bpe.MergeTable(public_tokenizers.path("byte_bpe_50k.tiktoken")), tiktoken_encoding(), random.Random(9)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cases = [some(letters[:11], 5000), some(letters, 200_000), some("ACGT", 8000), some("0123456789", 8000), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(4000))]
+    cases += ["a" * 50_003, "xyz" + "a" * 2001 + "b" + "a" * 777, "ab" * 9001, "abc" * 3001 + "q" + "bca" * 2001, letters * 500, "=" * 9001, " " * 9001 + "x", "\n" * 3001]
+    cases += ["".join(some(letters, 1) * rng.randrange(1, 90) for _ in range(60)), "".join(some(letters, rng.randrange(17, 60)) * rng.randrange(3, 20) for _ in range(20))]
+    for n in range(1, 200):
+        cases.append(some(letters[:2], n))
+    split = op08_bpe.Splitter(public_tokenizers.PATTERN, public_tokenizers.PATTERN)
+    for (n, _, back, ids, *_), x in zip(op08_bpe.coded(split, table, cases, True), cases, strict=True):
+        assert list(ids) == enc.encode_ordinary(x) and n == len(ids) and back == sha(x.encode())
 
 
 # 9
