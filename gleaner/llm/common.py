@@ -37,6 +37,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most that one Arrow batch holds between the JVM and Python, for all operators alike: rows, and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches where the session has Spark's defaults: its 64 MB would be held several times over in each task."""
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, ours)
+    return spark
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows with one doc_id apart by their texts; rows that agree in both share every result."""
     return F.xxhash64(doc_id, text)

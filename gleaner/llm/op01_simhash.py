@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, durable, pieces, row_key, spread_join
+from gleaner.llm.common import bounded_batches, documents, durable, pieces, row_key, spread_join
 from gleaner.llm.components import components
 
 RADIUS = 3
@@ -76,6 +76,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """Rows (key, fp)."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):

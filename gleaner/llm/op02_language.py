@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounds, documents, durable, pieces
+from gleaner.llm.common import bounded_batches, bounds, documents, durable, pieces
 
 #: Labelled rows of each language that training reads.
 PER_LANG = 1500
@@ -327,7 +327,7 @@ def _summary(m: Model, text: str, sizes: np.ndarray, label: np.ndarray) -> tuple
 
 def labeller(spark: SparkSession, model: Model, switch: float = SWITCH) -> Callable[[Column], Column]:
     """text -> struct<lang_pred, score, spans>. Only the text goes to Python and only the verdict comes back."""
-    sent = spark.sparkContext.broadcast(model)  # bounded, see MODEL
+    sent = bounded_batches(spark).sparkContext.broadcast(model)  # bounded, see MODEL
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

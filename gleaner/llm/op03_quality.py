@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, durable, pieces
+from gleaner.llm.common import bounded_batches, documents, durable, pieces
 from gleaner.llm.op01_simhash import stretches
 
 #: Rows that train the scorer, and its number of weights.
@@ -146,6 +146,7 @@ def train(inputs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, round
 
 def classify(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """Per row: key, quality_score (0 to 1), kept, weak_score (the posterior of its votes), n_words."""
+    bounded_batches(df.sparkSession)
     base = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
 

@@ -34,19 +34,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, pieces
+from gleaner.llm.common import bounded_batches, documents, pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pretokens remembered by a worker before it starts anew.
-CACHE = 500_000
+CACHE = 300_000
 #: Texts of more characters are cut into pretokens a piece at a time.
 LONG = 1 << 20
 #: Pretokens of more bytes are cut into parts of at most so many.
 SHORT = 64
 #: Bytes beside a bound that are contracted whole to make it hold, at most; beyond, see MergeTable._append.
 WHOLE = 512
-#: Rows that one recursive query may make, over all its steps: some 100 MB.
-ROWS = 1_500_000
+#: Rows that one recursive query may make, over all its steps: some 70 MB.
+ROWS = 1_000_000
 
 #: One row a token: its place and id, the place and id of the next one, and a key that orders pairs by rank, then place.
 LEFTMOST = """
@@ -115,7 +115,7 @@ class MergeTable:
         ]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # Queries are sized to stay far below the limit, so nothing is ever spilled to a local folder.
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         l, r, m = (np.array(x, dtype=np.int32) for x in zip(*rows, strict=True))
         self._table("merges", pa.table({"l": l, "r": r, "merged": m}))
@@ -304,6 +304,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
 
     path, usual = path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     pattern = pattern or usual
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +326,7 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str
     import public_tokenizers
 
     path = path or public_tokenizers.path(VOCABULARY)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merge_table(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, pieces
+from gleaner.llm.common import bounded_batches, documents, pieces
 
 LEAST = 0.8
 #: License notices by name. Short notices first, then the operative passages of common licenses.
@@ -143,6 +143,7 @@ def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> li
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """Per row: key, license, coverage, n_found, found (name, coverage, begin, end, matched)."""
+    bounded_batches(df.sparkSession)
     wanted = {k: words_of(v) for k, v in sorted((templates or TEMPLATES).items())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

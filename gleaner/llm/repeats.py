@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint_folder, pieces, row_key
+from gleaner.llm.common import bounded_batches, checkpoint_folder, pieces, row_key
 
 #: Windows handled at once; pieces end there, which costs a closer look but changes no result.
 STRETCH = 1 << 17
@@ -126,7 +126,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        checkpoint_folder(spark)
+        checkpoint_folder(bounded_batches(spark))
         self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
