@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
+_HEAD = re.compile("^" + HUNK)
+_SIDE = pa.list_(pa.struct([("line", pa.int32()), ("text", pa.string())]))
+
+
+def number_lines(lines: list[str]) -> tuple[list[dict], list[dict]]:
+    """(added, deleted) of a diff's lines. Each side's numbers are the hunk's start and the lines of that side since then."""
+    heads = [(i, _HEAD.match(x)) for i, x in enumerate(lines) if x.startswith("@@")]
+    heads = [(i, m) for i, m in heads if m]
+    if not heads:
+        return [], []
+    first = np.fromiter((x[:1] == "+" and x[:3] != "+++" for x in lines), dtype=bool, count=len(lines))
+    second = np.fromiter((x[:1] == "-" and x[:3] != "---" for x in lines), dtype=bool, count=len(lines))
+    at = np.array([i for i, _ in heads])
+    is_head = np.zeros(len(lines), dtype=bool)
+    is_head[at] = True
+    hunk = np.cumsum(is_head) - 1
+    sides = []
+    for own, other, group in ((first, second, 3), (second, first, 1)):
+        counted = np.cumsum(~other & ~is_head)  # lines of this side up to here
+        begin = np.array([int(m[group]) for _, m in heads])
+        number = begin[hunk] + counted - 1 - counted[at][hunk]
+        rows = np.flatnonzero(own & (hunk >= 0) & ~is_head)
+        sides.append([{"line": int(number[i]), "text": lines[i][1:]} for i in rows.tolist()])
+    return sides[0], sides[1]
+
+
+def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        got = [number_lines(re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", x or ""))) for x in texts.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([x[0] for x in got], _SIDE), pa.array([x[1] for x in got], _SIDE)], ["added", "deleted"])
+
+
+_parsed.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+
 def parse_unified(df: DataFrame, diff: str = "diff") -> DataFrame:
     """Adds `added` and `deleted`: arrays of (line, text).
 
-    A hunk header sets both counters; '+' lines are added and '-' lines deleted, but '+++' and '---' count as context; any
-    other line advances both; lines before the first header are left out. One fold over a diff's own lines, no shuffle.
+    '+' lines are added and '-' lines deleted, but '+++' and '---' count as context; any other line is on both sides; lines
+    before the first hunk header are left out; lines end at a line feed, with or without a carriage return before it.
+    Linear in the diff, no shuffle; a fold over columns would copy the lines found so far for each line.
     """
-    span = "struct<line: int, text: string>"
-    start = F.struct(F.lit(0).alias("old"), F.lit(0).alias("new"), F.lit(False).alias("inside"), F.array().cast(f"array<{span}>").alias("added"), F.array().cast(f"array<{span}>").alias("deleted"))
-
-    def step(a: Column, x: Column) -> Column:
-        head = x.rlike("^" + HUNK)
-        plus, minus = x.startswith("+") & ~x.startswith("+++"), x.startswith("-") & ~x.startswith("---")
-        number = lambda i: F.regexp_extract(x, HUNK, i).try_cast("int")
-        line = lambda at: F.struct(at.alias("line"), F.substring(x, 2, 1 << 30).alias("text"))
-        live = a["inside"] & ~head
-        return F.struct(
-            F.when(head, number(1)).when(live & ~plus, a["old"] + 1).otherwise(a["old"]).alias("old"),
-            F.when(head, number(3)).when(live & ~minus, a["new"] + 1).otherwise(a["new"]).alias("new"),
-            (a["inside"] | head).alias("inside"),
-            F.when(live & plus, F.concat(a["added"], F.array(line(a["new"])))).otherwise(a["added"]).alias("added"),
-            F.when(live & minus, F.concat(a["deleted"], F.array(line(a["old"])))).otherwise(a["deleted"]).alias("deleted"),
-        )
-
-    lines = F.split(F.regexp_replace(F.coalesce(F.col(diff), F.lit("")), r"\r?\n$", ""), r"\r?\n")
-    return df.withColumn("_p", F.aggregate(lines, start, step)).withColumns({"added": F.col("_p.added"), "deleted": F.col("_p.deleted")}).drop("_p")
+    span = "array<struct<line: int, text: string>>"
+    parse = F.arrow_udf(_parsed, f"added {span}, deleted {span}")
+    return df.withColumn("_p", parse(F.col(diff))).withColumns({"added": F.col("_p.added"), "deleted": F.col("_p.deleted")}).drop("_p")
 
 
 def hunk_lines(df: DataFrame, keys: list[str], diff: str = "diff", side: str = "new") -> DataFrame:

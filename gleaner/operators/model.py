@@ -52,7 +52,7 @@ def predictions(model: RandomForestClassificationModel, df: DataFrame, label: st
 
 def evaluate(rows: DataFrame) -> DataFrame:
     """One row with METRICS; auc is null with one class."""
-    keyed = rows.withColumn("k", F.lit(0)).persist()
+    keyed = rows.withColumn("k", F.lit(0))
     out = scores.classifier_metrics(scores.confusion(keyed, ["k"])).join(scores.auc(keyed, ["k"]), "k")
     return out.select(*METRICS)
 

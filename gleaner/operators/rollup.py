@@ -24,11 +24,12 @@ def with_files(method_rollup: DataFrame, files: DataFrame, metrics: list[str], b
     return method_rollup.join(files.groupBy(by).agg(*[c for m in metrics for c in stats(m)]), by, "full")
 
 
-def new_files(changes: DataFrame, by: str = "commit_id") -> DataFrame:
-    """Count and share of added files; 0 without files."""
+def new_files(changes: DataFrame, commits: DataFrame | None = None, by: str = "commit_id") -> DataFrame:
+    """Count and share of added files; with commits, 0 for those without files."""
     added = F.count_if(is_added(F.col("change_type"), F.col("old_path"), F.col("new_path")))
     ratio = F.coalesce(F.try_divide(added.cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0))
-    return changes.groupBy(by).agg(added.cast("long").alias("current_new_file_count"), ratio.alias("current_new_file_ratio"))
+    out = changes.groupBy(by).agg(added.cast("long").alias("current_new_file_count"), ratio.alias("current_new_file_ratio"))
+    return out if commits is None else commits.select(by).distinct().join(out, by, "left").fillna(0, ["current_new_file_count", "current_new_file_ratio"])
 
 
 def touched_classes(methods: DataFrame, by: str = "commit_id", file: str = "file", cls: str = "cls") -> DataFrame:

@@ -13,18 +13,18 @@ def numbered(df: DataFrame, by: str = "dataset", date: str = "date", tie: str =
 
 
 def windows(df: DataFrame, by: str = "dataset", train: float = 0.5, test: float = 0.1, step: float = 0.1, most: int = 5, least_train: int = 50, least_test: int = 20, sliding: bool = False) -> DataFrame:
-    """(dataset, window_id, train_start, train_end, test_start, test_end), ends inclusive: the training slice grows or slides, the test slice follows it."""
+    """(dataset, window_id, train_start, train_end, test_start, test_end), ends inclusive and windows counted from 1: the training slice grows or slides, the test slice follows it."""
     part = lambda share, least: F.greatest(F.lit(least), F.floor(F.col("n") * share)).cast("long")
     n = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, "n", part(train, least_train).alias("a"), part(test, least_test).alias("t"), part(step, 1).alias("s"))
-    w = n.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).filter("a + window_id * s + t <= n")
-    begin = F.col("window_id") * F.col("s") if sliding else F.lit(0)
+    w = n.withColumn("window_id", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("moved", (F.col("window_id") - 1) * F.col("s")).filter("a + moved + t <= n")
+    begin = F.col("moved") if sliding else F.lit(0)
     return w.select(
         by,
         F.col("window_id").cast("long").alias("window_id"),
         begin.cast("long").alias("train_start"),
-        (F.col("a") + F.col("window_id") * F.col("s") - 1).alias("train_end"),
-        (F.col("a") + F.col("window_id") * F.col("s")).alias("test_start"),
-        (F.col("a") + F.col("window_id") * F.col("s") + F.col("t") - 1).alias("test_end"),
+        (F.col("a") + F.col("moved") - 1).alias("train_end"),
+        (F.col("a") + F.col("moved")).alias("test_start"),
+        (F.col("a") + F.col("moved") + F.col("t") - 1).alias("test_end"),
     )
 
 

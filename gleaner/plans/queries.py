@@ -39,7 +39,7 @@ LINES = "lines AS (SELECT DISTINCT p_brand AS file, (l_partkey % 500 + l_linenum
 SAMPLES = f"{COMMITS}, samples AS (SELECT dataset, 'price' AS feature, x, label AS y FROM commits UNION ALL SELECT dataset, 'author', author::DOUBLE, label FROM commits)"
 IDX = f"{COMMITS}, idx AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY date, commit_id) - 1 AS idx FROM commits)"
 WINDOWS = """n AS (SELECT dataset, count(*) AS n FROM idx GROUP BY 1), p AS (SELECT dataset, n, greatest(50, floor(n * 0.5))::BIGINT AS a, greatest(20, floor(n * 0.1))::BIGINT AS t, greatest(1, floor(n * 0.1))::BIGINT AS s FROM n),
-  win AS (SELECT dataset, w::BIGINT AS window_id, 0::BIGINT AS train_start, a + w * s - 1 AS train_end, a + w * s AS test_start, a + w * s + t - 1 AS test_end FROM p, range(5) r(w) WHERE a + w * s + t <= n)"""
+  win AS (SELECT dataset, w::BIGINT AS window_id, 0::BIGINT AS train_start, a + (w - 1) * s - 1 AS train_end, a + (w - 1) * s AS test_start, a + (w - 1) * s + t - 1 AS test_end FROM p, range(1, 6) r(w) WHERE a + (w - 1) * s + t <= n)"""
 STATS = ", ".join(f"round(avg({m}), 6) AS current_{m}_mean, round(max({m}), 6) AS current_{m}_max, round(min({m}), 6) AS current_{m}_min, round(stddev_pop({m}), 6) AS current_{m}_std" for m in ("cc", "volume", "nargs", "nexits"))
 
 
@@ -218,13 +218,13 @@ def candidate_selection(spark, d):
 
 
 @query(
-    f"""WITH {SPANS}, t AS (SELECT file, name, cls || '::' || name AS long_name, s + 3 AS start, e + 3 AS "end", method AS id FROM spans WHERE method % 11 = 0),
+    f"""WITH {SPANS}, t AS (SELECT file, name, cls || '::' || name AS long_name, s + 3 AS start, e + 3 AS "end", method AS id FROM spans),
   j AS (SELECT t.*, spans.method, row_number() OVER (PARTITION BY t.id ORDER BY (spans.cls = split_part(t.long_name, '::', 1))::INT DESC, (greatest(t.start, s) <= least(t."end", e))::INT DESC, abs(s - t.start), spans.method) AS n FROM t JOIN spans USING (file, name))
   SELECT DISTINCT file, name, long_name, start, "end", method FROM j WHERE n = 1"""
 )
 def fuzzy_method_match(spark, d):
     m = T.method_spans(spark, d)
-    t = m.filter(F.col("method") % 11 == 0).select("file", "name", F.concat_ws("::", "cls", "name").alias("long_name"), (F.col("start") + 3).alias("start"), (F.col("end") + 3).alias("end")).distinct()
+    t = m.select("file", "name", F.concat_ws("::", "cls", "name").alias("long_name"), (F.col("start") + 3).alias("start"), (F.col("end") + 3).alias("end")).distinct()
     return affected.match_targets(t, m, ["file"])
 
 
@@ -280,9 +280,10 @@ def callee_cascade(spark, d):
     return calls.resolve_callees(sites, m)
 
 
-@query(f"WITH {SPANS} SELECT name, min(method) AS method FROM spans GROUP BY name HAVING count(*) = 1")
+@query(f"WITH {SPANS}, m AS (SELECT method, CASE WHEN method % 10 = 0 THEN 'only' || method ELSE name END AS name FROM spans) SELECT name, min(method) AS method FROM m GROUP BY name HAVING count(*) = 1")
 def unique_global_name(spark, d):
-    return calls.unique_names(T.method_spans(spark, d))
+    k = F.col("method")
+    return calls.unique_names(T.method_spans(spark, d).withColumn("name", F.when(k % 10 == 0, F.concat(F.lit("only"), k.cast("string"))).otherwise(F.col("name"))))
 
 
 @query(
@@ -299,20 +300,20 @@ def graph_counts(spark, d):
 
 
 @query(
-    f"WITH {SPANS}, sp AS (SELECT file, s + 4 AS ss, e + 4 AS se, method::DOUBLE AS cyclomatic FROM spans WHERE method % 6 = 0), j AS (SELECT spans.method, cyclomatic, row_number() OVER (PARTITION BY spans.method ORDER BY abs(ss - s), ss, cyclomatic) AS n FROM spans JOIN sp ON spans.file = sp.file AND greatest(s, ss) <= least(e, se)) SELECT spans.method, cyclomatic FROM spans LEFT JOIN j ON spans.method = j.method AND n = 1"
+    f"WITH {SPANS}, sp AS (SELECT file, s + 4 AS ss, e + 4 AS se, method::DOUBLE AS cyclomatic FROM spans), j AS (SELECT spans.method, cyclomatic, row_number() OVER (PARTITION BY spans.method ORDER BY abs(ss - s), ss, cyclomatic) AS n FROM spans JOIN sp ON spans.file = sp.file AND greatest(s, ss) <= least(e, se)) SELECT spans.method, cyclomatic FROM spans LEFT JOIN j ON spans.method = j.method AND n = 1"
 )
 def method_metric_asof(spark, d):
     m = T.method_spans(spark, d)
-    spaces = m.filter(F.col("method") % 6 == 0).select("file", (F.col("start") + 4).alias("start"), (F.col("end") + 4).alias("end"), F.col("method").cast("double").alias("cyclomatic"))
+    spaces = m.select("file", (F.col("start") + 4).alias("start"), (F.col("end") + 4).alias("end"), F.col("method").cast("double").alias("cyclomatic"))
     return metrics.metric_space(m, spaces, ["file"], "method", ["cyclomatic"]).select("method", "cyclomatic")
 
 
 @query(
-    f"WITH {SPANS}, nodes AS (SELECT file, s - 2 AS ns, e + 2 AS ne, method AS node, e - s + 4 AS size FROM spans WHERE method % 3 = 0), j AS (SELECT spans.method, node, row_number() OVER (PARTITION BY spans.method ORDER BY size, node) AS n FROM spans JOIN nodes ON spans.file = nodes.file AND ns <= s AND ne >= e) SELECT method, node FROM j WHERE n = 1"
+    f"WITH {SPANS}, nodes AS (SELECT file, s - 2 AS ns, e + 2 AS ne, method AS node, e - s + 4 AS size FROM spans), j AS (SELECT spans.method, node, row_number() OVER (PARTITION BY spans.method ORDER BY size, node) AS n FROM spans JOIN nodes ON spans.file = nodes.file AND ns <= s AND ne >= e) SELECT method, node FROM j WHERE n = 1"
 )
 def smallest_enclosing_node(spark, d):
     m = T.method_spans(spark, d)
-    nodes = m.filter(F.col("method") % 3 == 0).select("file", (F.col("start") - 2).alias("start"), (F.col("end") + 2).alias("end"), F.col("method").alias("node"), (F.col("end") - F.col("start") + 4).alias("size"))
+    nodes = m.select("file", (F.col("start") - 2).alias("start"), (F.col("end") + 2).alias("end"), F.col("method").alias("node"), (F.col("end") - F.col("start") + 4).alias("size"))
     return metrics.smallest_enclosing(m, nodes, ["file"], "method")
 
 
@@ -365,12 +366,14 @@ def window_records(spark, d):
 
 
 @query(
-    f"""WITH {IDX}, late AS (SELECT dataset, commit_id, idx, date, CASE WHEN idx < 60 THEN 0 ELSE label END AS label FROM idx WHERE idx < 100), n AS (SELECT dataset, 100 AS n FROM late GROUP BY 1)
-  SELECT dataset, w::BIGINT AS window_id, (SELECT count(DISTINCT label) FROM late l WHERE l.dataset = n.dataset AND idx < 50 + w * 10) > 1 AND (SELECT count(DISTINCT label) FROM late l WHERE l.dataset = n.dataset AND idx BETWEEN 50 + w * 10 AND 69 + w * 10) > 1 AS used_for_modeling
-  FROM n, range(4) r(w) WHERE 50 + w * 10 + 20 <= 100"""
+    f"""WITH {IDX.replace("idx AS", "every AS")}, idx AS (SELECT e.dataset, commit_id, idx, date, CASE WHEN 10 * idx < 6 * c THEN 0 ELSE label END AS label FROM every e JOIN (SELECT dataset, count(*) AS c FROM every GROUP BY 1) USING (dataset)), {WINDOWS}
+  SELECT dataset, window_id, count(DISTINCT label) FILTER (idx <= train_end) > 1 AND count(DISTINCT label) FILTER (idx >= test_start) > 1 AS used_for_modeling FROM idx JOIN win USING (dataset) WHERE idx BETWEEN train_start AND test_end GROUP BY ALL"""
 )
 def single_class_skip(spark, d):
-    rows = timeline.numbered(T.commits(spark, d)).filter("idx < 100").withColumn("label", F.when(F.col("idx") < 60, 0).otherwise(F.col("label")))
+    """The first six tenths of each dataset have one class, so its first windows are skipped."""
+    rows = timeline.numbered(T.commits(spark, d))
+    size = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(F.broadcast(size), "dataset").withColumn("label", F.when(10 * F.col("idx") < 6 * F.col("c"), 0).otherwise(F.col("label"))).drop("c")
     return timeline.records(rows, timeline.windows(rows)).select("dataset", "window_id", "used_for_modeling")
 
 
@@ -511,9 +514,9 @@ def feature_intersection(spark, d):
     return ranking.common_features(_scores(spark, d))
 
 
-@query("SELECT DISTINCT p_type AS feature FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size % 4 = 0)")
+@query("SELECT DISTINCT 'f' || p_partkey AS feature FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size % 4 = 0)")
 def feature_missing(spark, d):
-    p = T.load(spark, d, "part").select(F.col("p_type").alias("feature"), "p_size")
+    p = T.load(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature"), "p_size")
     return tables.missing_features(p, p.filter("p_size % 4 = 0"))
 
 
@@ -545,9 +548,9 @@ def validation_report(spark, d):
     return tables.validation_report(c, "date", "label", ["x"])
 
 
-@query(f"WITH {IDX}, {WINDOWS} SELECT dataset, window_id, b::BIGINT AS bootstrap_id, (20260505 + window_id) AS tune_seed, ((20260505 + window_id) * 1000 + b) % 4294967295 AS fit_seed FROM win, range(3) r(b)")
+@query(f"WITH {IDX}, {WINDOWS} SELECT dataset, window_id, b::BIGINT AS bootstrap_id, (20260505 + window_id) AS tune_seed, ((20260505 + window_id) * 1000 + b) % 4294967295 AS fit_seed FROM win, range(1, 21) r(b)")
 def seed_schedule(spark, d):
-    w = timeline.windows(T.commits(spark, d)).withColumn("bootstrap_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    w = timeline.windows(T.commits(spark, d)).withColumn("bootstrap_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))))
     tune = F.lit(20260505).cast("long") + F.col("window_id")
     return w.select("dataset", "window_id", "bootstrap_id", tune.alias("tune_seed"), P.normal_seed(tune * 1000 + F.col("bootstrap_id")).alias("fit_seed"))
 

@@ -8,28 +8,112 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.paths import CLASSIC_METRICS, concept_of, family_of, stat_columns
+from gleaner.functions.paths import CLASSIC_METRICS, concept_of, family_of
 from gleaner.operators import model, ranking, rollup, scores, timeline
 
 SEED = 20260505
 REPORTED = ("gmean", "recall0", "recall1", "mcc", "f1")
-_HALSTEAD = ("n1", "n2", "N1", "N2", "length", "vocabulary", "volume", "difficulty", "effort", "bugs", "time")
-
-
-def _stats(*metrics: str) -> list[str]:
-    return [c for m in metrics for c in stat_columns(f"current_{m}")]
-
-
-#: Feature sets of stage 4, each the classic metrics and a group of others.
+#: Feature sets of stage 4, each the classic metrics and a group of others. Halstead counts that differ by case
+#: only are called eta1, eta2 (distinct) and total1, total2.
 CATEGORIES = {
-    "kamei_14": [],
-    "cc": _stats("method_cc"),
-    "nargs_nexits": _stats("method_nargs", "method_nexits"),
-    "halstead": _stats(*[f"method_halstead_{m}" for m in _HALSTEAD]),
-    "file_metrics": _stats("file_cloc", "file_mi", "file_nom"),
-    "coupling": _stats("in_coupling", "out_coupling"),
-    "global_variables": _stats("global_var_count"),
-    "change_size": ["modified_method_count_current", "current_new_file_count", "current_new_file_ratio"],
+    "kamei_14": (),
+    "kamei_method_cc": (
+        "current_method_cc_mean",
+        "current_method_cc_max",
+        "current_method_cc_min",
+        "current_method_cc_std",
+    ),
+    "kamei_method_structure": (
+        "current_method_nargs_mean",
+        "current_method_nargs_max",
+        "current_method_nargs_min",
+        "current_method_nargs_std",
+        "current_method_nexits_mean",
+        "current_method_nexits_max",
+        "current_method_nexits_min",
+        "current_method_nexits_std",
+    ),
+    "kamei_halstead": (
+        "current_method_halstead_eta1_mean",
+        "current_method_halstead_eta1_max",
+        "current_method_halstead_eta1_min",
+        "current_method_halstead_eta1_std",
+        "current_method_halstead_eta2_mean",
+        "current_method_halstead_eta2_max",
+        "current_method_halstead_eta2_min",
+        "current_method_halstead_eta2_std",
+        "current_method_halstead_total1_mean",
+        "current_method_halstead_total1_max",
+        "current_method_halstead_total1_min",
+        "current_method_halstead_total1_std",
+        "current_method_halstead_total2_mean",
+        "current_method_halstead_total2_max",
+        "current_method_halstead_total2_min",
+        "current_method_halstead_total2_std",
+        "current_method_halstead_length_mean",
+        "current_method_halstead_length_max",
+        "current_method_halstead_length_min",
+        "current_method_halstead_length_std",
+        "current_method_halstead_vocabulary_mean",
+        "current_method_halstead_vocabulary_max",
+        "current_method_halstead_vocabulary_min",
+        "current_method_halstead_vocabulary_std",
+        "current_method_halstead_volume_mean",
+        "current_method_halstead_volume_max",
+        "current_method_halstead_volume_min",
+        "current_method_halstead_volume_std",
+        "current_method_halstead_difficulty_mean",
+        "current_method_halstead_difficulty_max",
+        "current_method_halstead_difficulty_min",
+        "current_method_halstead_difficulty_std",
+        "current_method_halstead_effort_mean",
+        "current_method_halstead_effort_max",
+        "current_method_halstead_effort_min",
+        "current_method_halstead_effort_std",
+        "current_method_halstead_bugs_mean",
+        "current_method_halstead_bugs_max",
+        "current_method_halstead_bugs_min",
+        "current_method_halstead_bugs_std",
+        "current_method_halstead_time_mean",
+        "current_method_halstead_time_max",
+        "current_method_halstead_time_min",
+        "current_method_halstead_time_std",
+    ),
+    "kamei_file_metrics": (
+        "current_file_cloc_mean",
+        "current_file_cloc_max",
+        "current_file_cloc_min",
+        "current_file_cloc_std",
+        "current_file_mi_mean",
+        "current_file_mi_max",
+        "current_file_mi_min",
+        "current_file_mi_std",
+        "current_file_nom_mean",
+        "current_file_nom_max",
+        "current_file_nom_min",
+        "current_file_nom_std",
+    ),
+    "kamei_coupling": (
+        "current_method_in_coupling_mean",
+        "current_method_in_coupling_max",
+        "current_method_in_coupling_min",
+        "current_method_in_coupling_std",
+        "current_method_out_coupling_mean",
+        "current_method_out_coupling_max",
+        "current_method_out_coupling_min",
+        "current_method_out_coupling_std",
+    ),
+    "kamei_global_var": (
+        "current_method_global_var_count_mean",
+        "current_method_global_var_count_max",
+        "current_method_global_var_count_min",
+        "current_method_global_var_count_std",
+    ),
+    "kamei_commit_stats": (
+        "modified_method_count_current",
+        "current_new_file_count",
+        "current_new_file_ratio",
+    ),
 }
 
 
@@ -81,7 +165,7 @@ def forest(rows: DataFrame, features: list[str], bootstraps: int = 20, points: l
         seed = SEED + w.window_id
         point = model.tune(train, w.train_size, seed, points)
         tuned.append((w.dataset, w.window_id, point["trees"], point["features"], point["leaf"]))
-        for b in range(bootstraps):
+        for b in range(1, bootstraps + 1):
             fitted = model.fit(model.bootstrap(train, seed * 1000 + b), point, seed * 1000 + b)
             mdi += [(w.dataset, w.window_id, b, f, x) for f, x in model.importances(fitted, features)]
             performance.append((w.dataset, w.window_id, b, *model.evaluate(model.predictions(fitted, test)).first()))
@@ -110,21 +194,21 @@ def forest(rows: DataFrame, features: list[str], bootstraps: int = 20, points: l
     return out
 
 
-def _sets(rows: DataFrame, sets: dict[str, list[str]], repeats: int, points: list[dict], step: int) -> tuple[DataFrame, DataFrame]:
+def _sets(rows: DataFrame, sets: dict[str, list[str]], repeats: int, points: list[dict], steps: dict[str, int]) -> tuple[DataFrame, DataFrame]:
     missing = {f for fs in sets.values() for f in fs} - set(rows.columns)
     if missing:
         raise ValueError(f"missing features: {sorted(missing)}")
     done, records = [], None
-    for k, (name, features) in enumerate(sets.items()):
+    for name, features in sets.items():
         numbered, records, wins = _modelled(rows, features)
         for w in wins:
             if not w.used_for_modeling:
                 continue
             own = numbered.filter(F.col("dataset") == w.dataset)
             train, test = own.filter(F.col("idx").between(w.train_start, w.train_end)), own.filter(F.col("idx").between(w.test_start, w.test_end))
-            seed = SEED + w.window_id + step * k
+            seed = SEED + w.window_id + 100 * steps[name]
             point = model.tune(train, w.train_size, seed, points)
-            for r in range(repeats):
+            for r in range(1, repeats + 1):
                 got = model.evaluate(model.predictions(model.fit(train, point, seed + r), test)).first()
                 done.append((name, w.dataset, w.window_id, r, len(features), *[got[m] for m in REPORTED]))
     schema = "experiment string, dataset string, window_id long, repeat int, selected_feature_count int, " + ", ".join(f"{m} double" for m in REPORTED)
@@ -150,7 +234,8 @@ def top_k(rows: DataFrame, ranks: DataFrame, percents: tuple[int, ...] = tuple(r
     for r in chosen.groupBy("topk_percent").agg(F.sort_array(F.collect_list("feature")).alias("f")).orderBy("topk_percent").collect():  # ten rows
         sets[f"top_{r.topk_percent}"] = list(r.f)
     sets = {k: v for k, v in sets.items() if v}
-    performance, records = _sets(rows, sets, repeats, points or model.grid(), 100)
+    steps = {k: int(k.removeprefix("top_")) if k != "baseline" else 0 for k in sets}  # seeds move by per cent
+    performance, records = _sets(rows, sets, repeats, points or model.grid(), steps)
     final = ranking.final_rank(usable, ["meta_mdi_npsk_rank", "mean_rank", "concept"])
     return {"topk_global_feature_ranking": final, "stage3_selected_features": chosen} | _summaries("topk", performance, records, list(sets))
 
@@ -158,6 +243,6 @@ def top_k(rows: DataFrame, ranks: DataFrame, percents: tuple[int, ...] = tuple(r
 def categories(rows: DataFrame, sets: dict[str, list[str]] | None = None, repeats: int = 5, points: list[dict] | None = None) -> dict[str, DataFrame]:
     """Stage 4: classic features with one group of new ones at a time."""
     sets = sets or {k: category_features(k) for k in CATEGORIES}
-    performance, records = _sets(rows, sets, repeats, points or model.grid(), 100)
+    performance, records = _sets(rows, sets, repeats, points or model.grid(), {k: i for i, k in enumerate(sets)})
     rows_ = [(k, i, f) for k, fs in sets.items() for i, f in enumerate(fs, 1)]
     return {"stage4_selected_features": rows.sparkSession.createDataFrame(rows_, "experiment string, position int, feature string")} | _summaries("stage4", performance, records, list(sets))

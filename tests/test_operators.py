@@ -158,6 +158,10 @@ def test_validation(spark):
 
 
 def test_stage_sets():
+    assert all(c in stages.CATEGORIES["kamei_coupling"] for c in ("current_method_in_coupling_mean", "current_method_out_coupling_std"))
+    assert "current_method_global_var_count_max" in stages.CATEGORIES["kamei_global_var"]
+    every = [c.lower() for k in stages.CATEGORIES for c in stages.CATEGORIES[k]]
+    assert len(every) == len(set(every)) == 83  # also where case doesn't count
     assert [len(stages.category_features(k)) for k in stages.CATEGORIES] == [14, 18, 22, 58, 26, 22, 18, 17]
     assert len(model.grid()) == 36 and all(a == b for _, a, b in [(0, f[0], f[1]) for f in model.forward_folds(120)])
 
@@ -171,7 +175,7 @@ def test_stages(spark):
     assert {r.concept: r.consensus_rank for r in one["consensus_ranking"].collect()} == {"cc": 1, "la": 1}  # one dataset cannot tell them apart
     two = stages.forest(df, ["la", "current_cc_mean"], bootstraps=1, points=point)
     total = two["raw_mdi"].groupBy("window_id", "bootstrap_id").agg(F.sum("importance").alias("s")).collect()
-    assert total and all(r.s == pytest.approx(1) for r in total)
+    assert total and all(r.s == pytest.approx(1) for r in total) and {r.bootstrap_id for r in total} == {1} and min(r.window_id for r in total) == 1
     ranks = two["raw_mdi_npsk_ranks"].select("concept", "meta_mdi_npsk_rank", "mean_rank")
     three = stages.top_k(df, ranks, (50, 100), repeats=1, points=point)
     assert three["topk_performance"].count() == 3 * two["time_windows"].filter("used_for_modeling").count()
@@ -179,3 +183,23 @@ def test_stages(spark):
     assert {r.experiment for r in four["stage4_median_across_datasets"].collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         stages.categories(df, {"a": ["nothing"]}, 1, point)
+
+
+def test_form_feeds_stay_in_lines(spark):
+    """Lines of a diff end at line feeds alone, whatever else a text editor may break at."""
+    df = spark.createDataFrame([("@@ -0,0 +1,2 @@\n+a\x0cb\u2028c\n+d\r\n",), (None,), ("no hunk\n+x",)], "diff string")
+    got = diff.parse_unified(df).collect()
+    assert [tuple(x) for x in got[0].added] == [(1, "a\x0cb\u2028c"), (2, "d")] and got[0].deleted == []
+    assert got[1].added == [] and got[2].added == []
+
+
+def test_new_files_of_commits_without_files(spark):
+    changes = spark.createDataFrame([(1, "ADD", None, "a"), (1, "MODIFY", "b", "b")], "commit_id long, change_type string, old_path string, new_path string")
+    commits = spark.createDataFrame([(1,), (2,)], "commit_id long")
+    got = {r.commit_id: (r.current_new_file_count, r.current_new_file_ratio) for r in rollup.new_files(changes, commits).collect()}
+    assert got == {1: (1, 0.5), 2: (0, 0.0)}
+
+
+def test_git_folders_are_not_source(spark):
+    df = spark.createDataFrame([("a/.git/x.foo",), ("a/b.git",), ("a/b.foo",), ("a/b.png",)], "p string")
+    assert [r.s for r in df.select(P.other_source(F.col("p")).alias("s")).collect()] == [False, False, True, False]

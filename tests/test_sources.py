@@ -6,6 +6,7 @@ import subprocess
 import pytest
 
 from gleaner.functions.paths import language_of
+from gleaner.operators import diff
 from gleaner.sources import gitlog, parsing
 from gleaner.streaming import commit_feed
 
@@ -47,13 +48,18 @@ def test_commits(git, repo):
 
 def test_changes(git, repo):
     order = {r.commit_id: r.ordinal for r in git(repo, "commits").collect()}
-    got = {(order[r.commit_id], r.change_type, r.old_path, r.new_path): r for r in git(repo, "file_changes").collect()}
+    got = {(order[r.commit_id], r.change_type, r.old_path, r.new_path): r for r in diff.parse_unified(git(repo, "file_changes")).collect()}
     assert {(0, "ADD", None, "a.py"), (0, "ADD", None, "é.txt"), (1, "MODIFY", "a.py", "a.py"), (5, "ADD", None, "c.py")} <= set(got)
     assert any(k[1:] == ("RENAME", "a.py", "b.py") for k in got) and any(k[1:] == ("DELETE", "é.txt", None) for k in got)
     change = got[(1, "MODIFY", "a.py", "a.py")]
     assert [tuple(x) for x in change.added] == [(5, "    return 2")] and [tuple(x) for x in change.deleted] == [(5, "    return 1")]
 
 
+def test_failures_are_errors(tmp_path):
+    with pytest.raises(RuntimeError):
+        gitlog.git(str(tmp_path), "rev-list", "HEAD")
+
+
 def test_snapshots(git, repo, spark):
     blobs = git(repo, "blobs").dropDuplicates(["blob_sha"])
     files = git(repo, "snapshot_files").join(blobs, "blob_sha")
