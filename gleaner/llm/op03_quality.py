@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote bad, good or nothing on every text. The votes are counted by pattern over all rows
 (at most 3 ** labellers patterns), and expectation-maximisation estimates each labeller's accuracy and the share of good
 texts from the counts alone. The posterior of a pattern is the soft label of its texts. A bounded sample of rows (the
-`sample` least hashes of their keys) with these labels trains a linear scorer over hashed features: word shapes and
+`sample` keys with the least hashes, one row each) with these labels trains a linear scorer over hashed features: word shapes and
 bucketed statistics. The scorer rates every row.
 
 Defined results: null and empty texts have no words; they are rated 0 and not kept; a table without rows gives an empty
@@ -53,7 +53,7 @@ def _shape(word: bytes) -> int:
     s = word.decode("utf-8", "replace")
     for run, sign in _RUNS:
         s = run.sub(sign, s)
-    return zlib.crc32(s[:32].encode()) % SIZE
+    return zlib.crc32(s.encode()) % SIZE
 
 
 def measure(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -169,7 +169,8 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
     chosen = durable(base.select("key").filter("key IS NOT NULL").distinct().orderBy(F.xxhash64("key"), "key").limit(sample))
     # At most `sample` keys are broadcast, and their texts train in one task.
-    weights = base.join(F.broadcast(chosen), "key").select("text").repartition(1).mapInArrow(fit, "at long, w double").collect()
+    picked = base.join(F.broadcast(chosen), "key").groupBy("key").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # one row a key
+    weights = picked.select("x.text").repartition(1).mapInArrow(fit, "at long, w double").collect()
     w = np.zeros(SIZE)
     for r in weights:
         w[r.at] = r.w

@@ -106,7 +106,7 @@ def _holds(x: np.ndarray, names: list[str], rule: Rule) -> np.ndarray:
 
 
 def learn(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, names: list[str], precise: float = PRECISE, most_rules: int = 12, most_conditions: int = 4) -> list[Rule]:
-    """A decision list for the bad class: x has a column for each name; prune marks the pruning rows."""
+    """A decision list of at most most_rules rules of most_conditions tests each for the bad class: x has a column for each name; prune marks the pruning rows."""
     rules: list[Rule] = []
     left = np.ones(len(x), dtype=bool)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, 50))) if len(x) else np.zeros(0) for j in range(len(names))]
@@ -143,6 +143,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     named = labels.filter(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(quality).alias("quality"))
     chosen = named.orderBy(F.xxhash64("key"), "key").limit(sample)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # at most `sample` keys
+    rows = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("key", "x.text")  # one row a key
     stats = statistics(rows, "key", "text").join(F.broadcast(chosen), "key")
     got = stats.select("key", "quality", base_failed().alias("failed"), F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(3)).alias("part"), *[v.alias(k) for k, v in features().items()]).collect()
     # Sorted out here: as a filter, the base rules would be computed below the join, for every row of df.

@@ -6,7 +6,9 @@ say themselves: the whole body, its paragraphs and its lines. A message answers
 the best match by the words quoted: within its conversation the earliest such message before it, else the earliest such
 message at all if that comes before by (conversation, turn). Without a link it answers the turn before it. A conversation
 whose first message answers one of another conversation continues that one, so `thread_id` names the conversation where
-all began. Sorted by (thread_id, conv_id, turn) every message follows the one that it answers. `text` is the message
+all began. The rows come sorted by
+(thread_id, conv_id, turn): a conversation with all that continue it stands together, every message after the one that it
+answers. The sort deals rows out by range, so a long conversation is cut over tasks instead of being gathered. `text` is the message
 without its quotes between role marks; marks inside bodies are escaped.
 
 Hashes that many messages share are reduced to their earliest message before the join, so no pairs arise within a group,
@@ -26,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import durable, pieces
+from gleaner.llm.common import bounded_batches, durable, pieces, spread_join
 
 LEVEL = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
-INTRODUCES = re.compile(r"^.{0,200}(?:wrote|schrieb|a écrit|escribió)\s*:\s*$")
+INTRODUCES = re.compile(r"(?:wrote|schrieb|a écrit|escribió)\s*:$")
 #: Turns in a stretch of a conversation; the turn before is looked up stretch by stretch.
 STRETCH = 1000
 
@@ -49,7 +51,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, int]], list[tuple
         m = LEVEL.match(line)
         level = m.group(1).count(">") if m else 0
         if m is None or not runs or runs[-1][0] != level:
-            if level and runs and runs[-1][0] == 0 and runs[-1][1] and INTRODUCES.match(runs[-1][1][-1]):
+            if level and runs and runs[-1][0] == 0 and runs[-1][1] and INTRODUCES.search(runs[-1][1][-1].rstrip()):
                 runs[-1][1].pop()
             if not runs or runs[-1][0] != level:
                 runs.append((level, []))
@@ -66,6 +68,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int, int]], list[tuple
 
 def parsed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """(conv, turn, role, body, quoted, own, deepest) per message."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quoted = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64()), ("n", pa.int32())]))
@@ -91,11 +94,11 @@ def quote_links(messages: DataFrame) -> DataFrame:
     """(conv, turn, to_conv, to_turn, words): for each quoting message the one that it answers."""
     keyed = messages.filter("conv IS NOT NULL AND turn IS NOT NULL")
     quotes = keyed.select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.level", "q.h", "q.n").distinct()
-    wanted = quotes.select("h").distinct()
-    said = keyed.select("conv", "turn", F.explode("own").alias("h")).join(wanted, "h", "left_semi")
-    here = said.groupBy("conv", "h").agg(F.min("turn").alias("here"))
-    anywhere = said.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    found = quotes.join(here, ["conv", "h"], "left").join(anywhere, "h", "left")
+    # Both aggregates are combined before their shuffles, so what everybody says costs no task more than what few say.
+    here = keyed.select("conv", "turn", F.explode("own").alias("h")).groupBy("conv", "h").agg(F.min("turn").alias("here"))
+    anywhere = here.groupBy("h").agg(F.min(F.struct("conv", F.col("here").alias("turn"))).alias("first"))
+    anywhere = durable(anywhere.join(quotes.groupBy("h").agg(F.count(F.lit(1)).alias("size")), "h"))
+    found = spread_join(quotes, anywhere, ["h"], "size").join(here, ["conv", "h"], "left")
     inside = F.when(F.col("here") < F.col("turn"), F.struct(F.col("conv"), F.col("here").alias("turn")))
     before = F.when(F.col("first") < F.struct("conv", "turn"), F.col("first"))
     found = found.select("conv", "turn", "level", "n", F.coalesce(inside, before).alias("to")).filter("to IS NOT NULL")
@@ -126,7 +129,7 @@ def threads(firsts: DataFrame) -> DataFrame:
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per message: conv_id, turn, role, thread_id, reply_conv, reply_turn, by_quote, n_quotes, quote_depth, body, text."""
-    messages = parsed(df, conv, turn, role, text)
+    messages = durable(parsed(df, conv, turn, role, text))
     links = durable(quote_links(messages))
     before = turn_before(messages)
     starts = before.filter("before IS NULL").select("conv", "turn")
@@ -146,7 +149,7 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.col("deepest").cast("long").alias("quote_depth"),
         "body",
         F.concat(F.lit("<|"), F.replace(F.col("role"), F.lit("|"), F.lit("/")), F.lit("|>\n"), safe, F.lit("<|end|>\n")).alias("text"),
-    )
+    ).orderBy("thread_id", "conv_id", "turn")
 
 
 def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

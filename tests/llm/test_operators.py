@@ -256,6 +256,16 @@ def test_merge_of_transforms(shard):
 # 6
 
 
+def test_verdict(docs, spark):
+    """kept, against the rules read off by hand."""
+    rules = [[("symbols_per_word", ">", 0.5), ("n_words", ">", 25.0)], [("marks_per_word", "<=", 0.02), ("word_length", ">", 6.0)]]
+    for r in op06_rules.rate(docs, rules).join(op06_rules.statistics(docs).selectExpr("key AS doc_id", "n_words AS w", "n_marks", "word_chars AS c", "n_symbols AS s", "n_repeat_words AS rep"), "doc_id").filter("doc_id <> 10").collect():
+        n = max(r.w, 1)
+        failed = r.w < 20 or 100 * r.rep > 30 * r.w
+        fires = [r.s / n > 0.5 and r.w > 25, r.n_marks / n <= 0.02 and r.c / n > 6]
+        assert r.base_failed == failed and r.kept == (not failed and not any(fires)) and r.rule == (fires.index(True) + 1 if any(fires) else None)
+
+
 def test_statistics(docs, none):
     def brute(text):
         text = text or ""
@@ -454,25 +464,61 @@ def test_alignment_is_patient():
     assert pairs == sorted(pairs) and len({j for _, j in pairs}) == len(pairs)
 
 
+def brute_common(a, b):
+    """The longest common subsequence, by dynamic programming."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_against_dynamic_programming():
+    """Never more than the longest common subsequence, and just that where words are unique; increasing pairs against all subsequences."""
+    rng = random.Random(6)
+    for n in range(200):
+        b = rng.sample("abcdefghijklmnop", 9)
+        a = [x for x in b if rng.random() < 0.8] if n % 2 else [rng.choice("abcdefghxyz") for _ in range(12)]
+        a[rng.randrange(len(a) + 1) : 0] = ["?"] * rng.randrange(3)
+        pairs = op10_license.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        best = brute_common(a, b)
+        assert len(pairs) == best if n % 2 else len(pairs) <= best
+        order = list(enumerate(rng.sample(range(20), 8)))
+        longest = max(len(c) for k in range(1, 9) for c in itertools.combinations([y for _, y in order], k) if list(c) == sorted(c))
+        assert len(op10_license._increasing(order)) == longest
+
+
 def test_doubled_notices():
-    """A notice that stands twice in a text is found whole, with and without an edit, whatever the text begins and ends with."""
+    """A notice that stands twice is found twice, a long one also with an edit, whatever the text begins and ends with."""
     wanted = {k: op10_license.words_of(v) for k, v in op10_license.TEMPLATES.items()}
     for name, text in op10_license.TEMPLATES.items():
         words = wanted[name]
         for begin, end in (("", ""), ("page", "end"), (f"{words[0]} page of ours", f"the end {words[-1]}")):
             a = len(op10_license.words_of(begin))
-            twice = {x["name"]: x for x in op10_license.scan(f"{begin} {text} and more {text} {end}", wanted)}
-            assert twice[name]["coverage"] == 1 and (twice[name]["begin"], twice[name]["end"]) == (a, a + len(words))
+            twice = [x for x in op10_license.scan(f"{begin} {text} and more of it here {text} {end}", wanted) if x["name"] == name]
+            assert len(twice) == 2 and {x["coverage"] for x in twice} == {1.0} and min(x["begin"] for x in twice) == a
             for at in (len(words) // 3, len(words) * 2 // 3):
                 edited = " ".join([*words[:at], "changed", *words[at + 1 :]])
-                assert len(op10_license.align(op10_license.words_of(f"{begin} {edited} and more {edited} {end}"), words)) >= len(words) - 1
+                found = [x for x in op10_license.scan(f"{begin} {edited} and more of it here {edited} {end}", wanted) if x["name"] == name]
+                assert [x["matched"] for x in found] == ([len(words) - 1] * 2 if len(words) >= op10_license.SHORT else [])
+
+
+def test_strewn_words_are_no_license():
+    wanted = {k: op10_license.words_of(v) for k, v in op10_license.TEMPLATES.items()}
+    assert op10_license.scan("Work released in May under pressure from the dean of MIT lost its license.", wanted) == []
+    full = op10_license.words_of(op10_license.TEMPLATES["isc"])
+    assert op10_license.scan(" filler and more ".join(full), wanted) == []
+    long = "word " * 30_000 + op10_license.TEMPLATES["isc"] + " word" * 30_000
+    assert [(x["name"], x["begin"], x["coverage"]) for x in op10_license.scan(long, wanted)] == [("isc", 30_000, 1.0)]
 
 
 def test_licenses(docs, none, spark):
     full = op10_license.TEMPLATES["mit"]
-    cases = spark.createDataFrame([(1, f"intro {full} outro"), (2, full.replace("merge", "join").replace("publish", "print")), (3, "Released under the MIT License."), (4, " ".join(full.split()[:20])), (5, None)], "doc_id long, text string")
+    cases = spark.createDataFrame([(1, f"intro {full} outro"), (2, full.replace("merge", "join").replace("publish", "print")), (3, "Released under the MIT License."), (4, " ".join(full.split()[:20])), (5, None), (6, "Released under the GPL License.")], "doc_id long, text string")
     got = {r.doc_id: (r.license, round(r.coverage, 2)) for r in op10_license.scan_licenses(cases).collect()}
-    assert got[1] == ("mit", 1.0) and got[2][0] == "mit" and 0.9 < got[2][1] < 1 and got[3] == ("mit-notice", 1.0) and got[4] == (None, 0.0) and got[5] == (None, 0.0)
+    assert got[1] == ("mit", 1.0) and got[2][0] == "mit" and 0.9 < got[2][1] < 1 and got[3] == ("mit-notice", 1.0) and got[4] == got[5] == got[6] == (None, 0.0)
     assert op10_license.scan_licenses(docs).filter("license IS NOT NULL").count() == 0
     assert op10_license.scan_licenses(none).count() == 0
 
