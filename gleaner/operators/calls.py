@@ -1,7 +1,6 @@
 """Call resolution and coupling.
 
-A cascade of joins finds what a call site calls: every tier is an equi-join on derived keys; the first tier with a hit
-wins, in it the nearest method to the caller, then the first by (file, start, id).
+A cascade of tiers finds what a call site calls, each an equality of derived keys; the first tier with a hit wins, in it the nearest method to the caller, then the first by (file, start, id).
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ def resolve_callers(sites: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def _cascade(sites: DataFrame, methods: DataFrame, tiers: list[Column], at: Column, name: str) -> DataFrame:
-    """The best hit of each site by tier, nearness and order: one union of joins and one aggregate, so the plan grows with the tiers, not with their powers."""
+    """The best hit of each site by tier, nearness and order."""
     hits = None
     for i, on in enumerate(tiers, 1):
         tier = sites.join(methods, on).select("site", F.struct(F.lit(i).alias("tier"), F.abs(F.col("m_start") - at).alias("far"), F.col("m_file"), F.col("m_start"), F.col("m_id")).alias("hit"))
@@ -38,44 +37,60 @@ def _cascade(sites: DataFrame, methods: DataFrame, tiers: list[Column], at: Colu
     return best.select("site", F.col("b.tier").alias("tier"), F.col("b.m_id").alias(name))
 
 
-def resolve_callees(sites: DataFrame, methods: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """(site, tier, callee). sites: site, file, cls, start, language (of the caller), callee, receiver, inferred, dotted; methods: method, file, cls, name, start, language; imports: file, alias, target."""
+def resolve_callees(sites: DataFrame, methods: DataFrame, imports: DataFrame | None = None, within: list[str] = []) -> DataFrame:  # noqa: B006
+    """(site, tier, callee). sites: site, file, cls, start, language (of the caller), callee, receiver, inferred, dotted; methods: method, file, cls, name, start, language; imports: file, alias, target.
+
+    `within` names columns of all three that must agree (a snapshot, say). Each side has a row for each key that it has a
+    value of; one equi-join on (key number, key) finds all hits, and one aggregate the best of each site.
+    """
     spark = sites.sparkSession
-    imports = imports if imports is not None else spark.createDataFrame([], "file string, alias string, target string")
-    alias = imports.groupBy("file", "alias").agg(F.max("target").alias("target"))
-    named = lambda c, out: alias.select("file", F.col("alias").alias(c), F.col("target").alias(out))
+    if imports is None:
+        imports = spark.createDataFrame([], ", ".join([*(f"{c} {dict(sites.dtypes)[c]}" for c in within), "file string, alias string, target string"]))
+    alias = imports.groupBy(*within, "file", "alias").agg(F.max("target").alias("target"))
+    named = lambda c, out: alias.select(*within, "file", F.col("alias").alias(c), F.col("target").alias(out))
     s = sites.withColumn("head", F.when(F.col("dotted").contains("."), F.substring_index("dotted", ".", 1)))
-    s = s.join(named("receiver", "by_receiver"), ["file", "receiver"], "left").join(named("callee", "by_callee"), ["file", "callee"], "left").join(named("head", "by_head"), ["file", "head"], "left")
-    m = methods.select(
-        F.col("method").alias("m_id"),
-        F.col("file").alias("m_file"),
-        F.col("cls").alias("m_cls"),
-        F.col("name").alias("m_name"),
-        F.col("start").alias("m_start"),
-        F.when(F.col("language") == "python", python_module(F.col("file"))).alias("m_module"),
-    )
-    once = methods.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(F.col("name").alias("m_name"), F.lit(True).alias("m_once"))
-    m = m.join(once, "m_name", "left")
-    same, own = F.col("m_name") == F.col("callee"), F.nullif(F.col("m_cls"), F.lit(""))
-    here, python = F.col("m_file") == F.col("file"), F.col("language") == "python"
+    for c, out in (("receiver", "by_receiver"), ("callee", "by_callee"), ("head", "by_head")):
+        s = s.join(named(c, out), [*within, "file", c], "left")
+    once = methods.groupBy(*within, "name").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(*within, "name", F.lit(True).alias("once"))
+    m = methods.join(once, [*within, "name"], "left")
+
+    python = F.col("language") == "python"
     module = F.when(python, python_module(F.col("file")))
     receiver_module, receiver_class = module_and_symbol(F.col("by_receiver"))
     callee_module, callee_symbol = module_and_symbol(F.col("by_callee"))
-    head_module, head_class = F.col("by_head"), F.lit(None)
-    tiers = [
-        (F.nullif(F.col("cls"), F.lit("")) == F.col("m_cls")) & here & same,
-        here & same,
-        (own == symbol_tail(F.col("inferred"))) & same,
-        (own == symbol_tail(F.col("by_receiver"))) & same,
-        (own == symbol_tail(F.col("by_callee"))) & same,
-        (F.col("m_module") == module) & same,
-        python & receiver_class.isNotNull() & (F.col("m_module") == receiver_module) & (own == receiver_class) & same,
-        python & (F.col("m_module") == head_module) & same,
-        python & (F.col("m_module") == callee_module) & (F.col("m_name") == F.coalesce(callee_symbol, F.col("callee"))),
-        python & (F.col("m_module") == callee_module) & (own == callee_symbol) & same,
-        same & F.col("m_once"),
+    head_module, head_class = module_and_symbol(F.col("by_head"))
+    own, callee, name = F.nullif(F.col("cls"), F.lit("")), F.col("callee"), F.col("name")
+    in_class, in_module, in_both = (own, name), (module, name), (module, own, name)
+    only = lambda on, c: F.when(on, c)
+    keys = [
+        (1, (own, F.col("file"), callee), (own, F.col("file"), name)),
+        (2, (F.col("file"), callee), (F.col("file"), name)),
+        (3, (symbol_tail(F.col("inferred")), callee), in_class),
+        (4, (symbol_tail(F.col("by_receiver")), callee), in_class),
+        (5, (symbol_tail(F.col("by_callee")), callee), in_class),
+        (6, (module, callee), in_module),
+        (7, (only(python, receiver_module), receiver_class, callee), in_both),
+        (8, (only(python, F.col("by_head")), callee), in_module),
+        (8, (only(python, head_module), head_class, callee), in_both),
+        (9, (only(python, callee_module), F.coalesce(callee_symbol, callee)), in_module),
+        (10, (only(python, callee_module), callee_symbol, callee), in_both),
+        (11, (callee,), (only(F.col("once"), name),)),
     ]
-    return _cascade(s, m, tiers, F.col("start"), "callee")
+
+    def keyed(side: int) -> Column:
+        """An array of (number, tier, key), without the keys that have a null."""
+        every = []
+        for i, key in enumerate(keys):
+            parts = key[1 + side]
+            whole = F.when(F.greatest(*[p.isNull() for p in parts], F.lit(False)) == F.lit(False), F.concat_ws("\x1f", *parts))
+            every.append(F.struct(F.lit(i).alias("i"), F.lit(key[0]).alias("tier"), whole.alias("key")))
+        return F.explode(F.filter(F.array(*every), lambda x: x["key"].isNotNull())).alias("k")
+
+    a = s.select("site", *within, F.col("start").alias("at"), keyed(0)).select("site", *within, "at", "k.i", "k.tier", "k.key")
+    b = m.select(*within, F.col("method").alias("m_id"), F.col("file").alias("m_file"), F.col("start").alias("m_start"), keyed(1)).select(*within, "m_id", "m_file", "m_start", "k.i", "k.key")
+    hit = F.struct("tier", F.abs(F.col("m_start") - F.col("at")).alias("far"), "m_file", "m_start", "m_id")
+    best = a.join(b, [*within, "i", "key"]).groupBy("site").agg(F.min(hit).alias("b"))
+    return best.select("site", F.col("b.tier").alias("tier"), F.col("b.m_id").alias("callee"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, node: str = "node", caller: str = "caller", callee: str = "callee") -> DataFrame:

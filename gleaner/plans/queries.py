@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import paths as P
 from gleaner.operators import affected, calls, diff, metrics, ranking, rollup, scores, tables, timeline
+from gleaner.plans import analyzer
 from gleaner.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,6 +556,59 @@ def seed_schedule(spark, d):
     return w.select("dataset", "window_id", "bootstrap_id", tune.alias("tune_seed"), P.normal_seed(tune * 1000 + F.col("bootstrap_id")).alias("fit_seed"))
 
 
+_ROWS = "(SELECT l_orderkey AS commit_id, concat_ws('::', l_linenumber, l_partkey, l_suppkey) AS method_id, any_value(l_suppkey) AS file_path, min(l_quantity) AS q, min(l_extendedprice) AS x FROM lineitem GROUP BY ALL)"
+
+
+def _affected_rows(spark, d):
+    li = T.load(spark, d, "lineitem").withColumn("method_id", F.concat_ws("::", "l_linenumber", "l_partkey", "l_suppkey"))
+    return li.groupBy(F.col("l_orderkey").alias("commit_id"), "method_id").agg(F.any_value("l_suppkey").alias("file_path"), F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("x"))
+
+
+def _joined(spark, d):
+    rows = _affected_rows(spark, d)
+    own = rows.select("commit_id", "method_id", "q", "x")
+    method = own.filter("q > 5").select("commit_id", "method_id", *[(F.col("q") * i + F.floor("x") % 7).alias(m) for i, m in enumerate(analyzer.METHOD_METRICS[2:-1], 1)])
+    coupling = own.filter("q % 10 <> 0").select("commit_id", "method_id", (F.col("q") % 4).cast("long").alias("method_in_coupling"), (F.col("q") % 6).cast("long").alias("method_out_coupling"))
+    globals_ = own.filter("q % 3 = 0").select("commit_id", "method_id", (F.col("q") % 5).alias("method_global_var_count"))
+    files = rows.filter("file_path % 9 <> 0").groupBy("commit_id", "file_path").agg(*[(F.max("q") + i).alias(m) for i, m in enumerate(analyzer.FILE_METRICS)])
+    return analyzer.function_rows(rows.select("commit_id", "method_id", "file_path"), method, files, coupling, globals_), files
+
+
+_JOINED = f"""r AS {_ROWS}, f AS (SELECT commit_id, file_path, {", ".join(f"max(q) + {i} AS {m}" for i, m in enumerate(analyzer.FILE_METRICS))} FROM r WHERE file_path % 9 <> 0 GROUP BY ALL),
+  j AS (SELECT r.commit_id, method_id, r.file_path, CASE WHEN q % 10 <> 0 THEN (q % 4)::BIGINT END AS method_in_coupling, CASE WHEN q % 10 <> 0 THEN (q % 6)::BIGINT END AS method_out_coupling,
+    {", ".join(f"CASE WHEN q > 5 THEN q * {i} + floor(x) % 7 END AS {m}" for i, m in enumerate(analyzer.METHOD_METRICS[2:-1], 1))},
+    CASE WHEN q % 3 = 0 THEN q % 5 ELSE 0 END AS method_global_var_count, {", ".join(analyzer.FILE_METRICS)} FROM r LEFT JOIN f ON r.commit_id = f.commit_id AND r.file_path = f.file_path)"""
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in (*analyzer.METHOD_METRICS[2:], *analyzer.FILE_METRICS))
+
+
+@query(f"WITH {_JOINED} SELECT commit_id, method_id, file_path, method_in_coupling, method_out_coupling, {_ROUNDED} FROM j")
+def function_row_join(spark, d):
+    """Affected methods with metrics, coupling, globals and file metrics, each of which some lack."""
+    return rounded(_joined(spark, d)[0])
+
+
+_EACH = lambda ms: ", ".join(f"round(avg({m}), 6) AS current_{m}_mean, round(max({m}), 6)::DOUBLE AS current_{m}_max, round(min({m}), 6)::DOUBLE AS current_{m}_min, round(stddev_pop({m}), 6) AS current_{m}_std" for m in ms)
+
+
+@query(
+    f"""WITH {_JOINED}, a AS (SELECT commit_id, {_EACH(analyzer.METHOD_METRICS)}, count(DISTINCT method_id) AS modified_method_count_current, count(DISTINCT method_id) > 0 AS has_modified_methods_current FROM j GROUP BY 1),
+  b AS (SELECT commit_id, {_EACH(analyzer.FILE_METRICS)} FROM f GROUP BY 1),
+  n AS (SELECT l_orderkey AS commit_id, count(*) FILTER (l_returnflag = 'A') AS current_new_file_count, count(*) FILTER (l_returnflag = 'A') / count(*)::DOUBLE AS current_new_file_ratio FROM lineitem GROUP BY 1),
+  t AS (SELECT commit_id, count(DISTINCT (file_path, method_id)) AS class_touched_count_current FROM j GROUP BY 1),
+  w AS (SELECT o_orderkey AS commit_id, o_orderdate AS commit_author_date, a.* EXCLUDE (commit_id, modified_method_count_current, has_modified_methods_current), b.* EXCLUDE (commit_id), coalesce(modified_method_count_current, 0) AS modified_method_count_current, coalesce(has_modified_methods_current, false) AS has_modified_methods_current,
+    coalesce(current_new_file_count, 0) AS current_new_file_count, round(coalesce(current_new_file_ratio, 0), 6) AS current_new_file_ratio, coalesce(class_touched_count_current, 0) AS class_touched_count_current
+    FROM orders LEFT JOIN a ON o_orderkey = a.commit_id LEFT JOIN b ON o_orderkey = b.commit_id LEFT JOIN n ON o_orderkey = n.commit_id LEFT JOIN t ON o_orderkey = t.commit_id)
+  SELECT *, {" AND ".join(f"current_{m}_mean IS NOT NULL" for m in (*analyzer.METHOD_METRICS, *analyzer.FILE_METRICS))} AS is_complete_feature FROM w"""
+)
+def commit_feature_rows(spark, d):
+    """The commit table: 18 method and 4 file metrics, new files, classes and completeness."""
+    functions, files = _joined(spark, d)
+    commits = T.load(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_orderdate").alias("commit_author_date"))
+    changes = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.when(F.col("l_returnflag") == "A", "ADD").otherwise("MODIFY").alias("change_type"), F.lit("a").alias("old_path"), F.lit("b").alias("new_path"))
+    out = analyzer.commit_rows(commits, functions, files, changes, functions.select("commit_id", F.col("file_path").alias("file"), F.col("method_id").alias("cls")))
+    return out.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c.endswith(("_mean", "_max", "_min", "_std", "_ratio")) else F.col(c) for c in out.columns])
+
+
 @query(f"WITH {COMMITS} SELECT commit_id, date, label, author % 3 = 0 OR author % 4 > 1 AS is_merge FROM commits ORDER BY commit_id LIMIT 500 OFFSET 100")
 def commit_scan_merge(spark, d):
     """A commit scan that skips 100 and takes 500 (the feature itself), with the merge predicate."""
