@@ -30,19 +30,23 @@ CACHE = 500_000
 
 
 class _Words:
-    """64-bit hashes of words, remembered up to a bound."""
+    """Two 64-bit codes of words, the halves of a 128-bit hash, remembered up to a bound."""
 
     known: dict[bytes, int] = {}
+    codes = np.zeros((2, 0), dtype=np.uint64)
 
     @classmethod
     def hashes(cls, words: list[bytes]) -> np.ndarray:
         new = set(words).difference(cls.known)
         if new:
             if len(cls.known) + len(new) > CACHE:
-                cls.known = {}
+                cls.known, cls.codes = {}, cls.codes[:, :0]
                 new = set(words)
-            cls.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        return np.fromiter(map(cls.known.__getitem__, words), dtype=np.uint64, count=len(words))
+            order = list(new)
+            cls.known.update(zip(order, range(len(cls.known), len(cls.known) + len(order)), strict=True))
+            fresh = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in order]), dtype=np.uint64).reshape(-1, 2).T
+            cls.codes = np.concatenate([cls.codes, fresh], axis=1)
+        return cls.codes[:, np.fromiter(map(cls.known.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
 def split(text: str | None) -> list[bytes]:

@@ -40,7 +40,8 @@ _SYMBOLS = repeats.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 
 def symbols(data: bytes) -> np.ndarray:
-    return _SYMBOLS[np.frombuffer(data, dtype=np.uint8)]
+    codes = _SYMBOLS[np.frombuffer(data, dtype=np.uint8)]
+    return np.broadcast_to(codes, (2, len(codes)))  # one code a byte, so none can be taken for another
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

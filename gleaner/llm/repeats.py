@@ -5,8 +5,9 @@ the leftmost of equal ones, so equal windows have equal anchors wherever they st
 at one place form a piece (a super-k-mer): one row instead of one per window. Windows of one piece differ. An anchor that occurs once has no repeated window. An anchor whose pieces are all
 equal repeats whole, or not at all. Only anchors with different pieces ("branching") need a closer look at their windows.
 
-Hashes are polynomials modulo 2**64 over mixed symbols. Whatever is decided by them is decided by two of them, of
-different multipliers, together: 128 bits.
+Symbols are two rows of 64-bit codes that don't depend on each other. Hashes are polynomials modulo 2**64, the first over the
+first codes and the second, with another multiplier, over the second. Windows are equal if both hashes are; pieces are
+equal if the first hash of their anchors and the second of all their symbols are.
 """
 
 from __future__ import annotations
@@ -81,14 +82,14 @@ def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
 def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, digest, first window, number of windows, times) of a text's pieces; equal pieces one after another, as periodic text has them, are one with `times`."""
     out: list[tuple] = []
-    for a in range(0, len(symbols) - width + 1, STRETCH):
-        part = symbols[a : a + STRETCH + width - 1]
-        hashes = Rolling(part, 0).each(gram)
+    for a in range(0, symbols.shape[1] - width + 1, STRETCH):
+        part = symbols[:, a : a + STRETCH + width - 1]
+        hashes = Rolling(part[0], 0).each(gram)
         # The least hash by its upper bits, and of equal ones the leftmost: its place is in the lower bits.
         least = least_of_each((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), width - gram + 1)
         begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         count = np.diff(np.append(begin, len(least)))
-        out.append((hashes[(least[begin] & _PLACE).astype(np.int64)], Rolling(part, 1).of(begin, count + (width - 1)), begin + a, count))
+        out.append((hashes[(least[begin] & _PLACE).astype(np.int64)], Rolling(part[1], 1).of(begin, count + (width - 1)), begin + a, count))
     if not out:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     a, d, p, n = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -98,8 +99,8 @@ def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray,
 
 def window_hashes(symbols: np.ndarray, begin: int, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each of `count` windows from `begin` on."""
-    part = symbols[begin : begin + count + width - 1]
-    return Rolling(part, 0).each(width), Rolling(part, 1).each(width)
+    part = symbols[:, begin : begin + count + width - 1]
+    return Rolling(part[0], 0).each(width), Rolling(part[1], 1).each(width)
 
 
 def covered(begin: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
