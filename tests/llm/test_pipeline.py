@@ -55,3 +55,28 @@ def test_pipeline(spark, tmp_path):
     want = {(k, sha(" ".join(map(str, enc.encode_ordinary(t))).encode()), sha(t.encode())) for k, t in kept.items() if clean(t)}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in got} == want and len(got) == len(want) < len(rows)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated doc_ids, and columns named like those that the stages use inside, go through every stage; empty tables give empty results."""
+    extra = "_rid string, kept_key long, kept_rid long, bad_key long, bad_rid long, row string, said string, cut string, key long, rid string, kept string, runs string, text_ string, win long, term string, n long, `a.b` string"
+    names = [x.split()[0].strip("`") for x in extra.split(", ")]
+    odd = lambda v: [v if x.split()[1] == "long" else str(v) for x in extra.split(", ")]
+    rows = [(*r[:5], *odd(i)) for i, r in enumerate(texts())]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, "spam spam"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {r[0] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = docs.collect()
+        assert {r.doc_id for r in got} <= left and all([str(r[x]) for x in names] == [str(r[names[1]])] * len(names) for r in got), name
+        left = {r.doc_id for r in got}
+    assert None in left and 10 in left
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
