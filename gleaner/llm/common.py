@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -73,6 +74,15 @@ def bounds(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def release() -> None:
+    """Hands freed memory back to the system, since Python workers stay and wait for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

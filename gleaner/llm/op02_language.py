@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, bounds, documents, durable, pieces
+from gleaner.llm.common import bounded_batches, bounds, documents, durable, pieces, release
 
 #: Labelled rows of each language that training reads.
 PER_LANG = 1500
@@ -336,6 +336,8 @@ def labeller(spark: SparkSession, model: Model, switch: float = SWITCH) -> Calla
             for a, b in bounds(texts):
                 said, score, spans = zip(*rate(m, texts.slice(a, b - a).to_pylist(), switch), strict=True)
                 yield pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["lang_pred", "score", "spans"])
+        m.words, m.scores = {}, None
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # Nondeterministic, so that a filter on the verdict doesn't make a second call of it.

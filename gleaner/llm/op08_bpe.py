@@ -34,19 +34,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, documents, pieces
+from gleaner.llm.common import bounded_batches, documents, pieces, release
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pretokens remembered by a worker before it starts anew.
-CACHE = 300_000
+#: Pretokens remembered by a worker: so many, and those of a generation before.
+CACHE = 75_000
 #: Texts of more characters are cut into pretokens a piece at a time.
 LONG = 1 << 20
 #: Pretokens of more bytes are cut into parts of at most so many.
 SHORT = 64
 #: Bytes beside a bound that are contracted whole to make it hold, at most; beyond, see MergeTable._append.
 WHOLE = 512
-#: Rows that one recursive query may make, over all its steps: some 70 MB.
-ROWS = 1_000_000
+#: Rows that one recursive query may make, over all its steps: some 40 MB.
+ROWS = 600_000
 
 #: One row a token: its place and id, the place and id of the next one, and a key that orders pairs by rank, then place.
 LEFTMOST = """
@@ -114,19 +114,32 @@ class MergeTable:
             (ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        # Queries are sized to stay far below the limit, so nothing is ever spilled to a local folder.
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._table("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         l, r, m = (np.array(x, dtype=np.int32) for x in zip(*rows, strict=True))
-        self._table("merges", pa.table({"l": l, "r": r, "merged": m}))
+        self.tables = {"vocabulary": pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}), "merges": pa.table({"l": l, "r": r, "merged": m})}
+        self.connection: duckdb.DuckDBPyConnection | None = None
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    def _table(self, name: str, rows: pa.Table) -> None:
-        self.db.register("_rows", rows)
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM _rows")
-        self.db.unregister("_rows")
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """The database, opened where it isn't."""
+        if self.connection is None:
+            # Queries are sized to stay far below the limit, so nothing is ever spilled to a local folder.
+            self.connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+            for name, rows in self.tables.items():
+                self.connection.register("_rows", rows)
+                self.connection.execute(f"CREATE TABLE {name} AS SELECT * FROM _rows")
+                self.connection.unregister("_rows")
+        return self.connection
+
+    def close(self) -> None:
+        """Gives the database's memory back; what is known stays."""
+        if self.connection is not None:
+            self.connection.close()
+            self.connection = None
+        release()
 
     def contract(self, words: list[bytes]) -> Iterator[tuple[int, str, int, bytes]]:
         """(number of the word, ids, number of ids, decoded bytes), as many words to a query as ROWS allows."""
@@ -145,6 +158,7 @@ class MergeTable:
             self.db.register("seed", pa.table({"w": w, "pos": pos, "id": ids, "npos": pos + np.int32(1), "nid": after}))
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE steps AS {LEFTMOST} SELECT step, w, pos, id FROM s")
             yield from self.db.execute(ENDED).fetchall()
+            self.db.execute("DROP TABLE steps")
             self.db.unregister("seed")
             begin = end
 
@@ -219,11 +233,13 @@ class MergeTable:
         return ids
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that the cache lacks."""
-        new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = sorted(words)
+        """Encodes the words that the cache lacks. A full cache becomes the older one, from which words in use come back."""
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > CACHE:
+            self.older, self.known = self.known | {w: self.older[w] for w in missing if w in self.older}, {}
+            missing = words
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        new = sorted(missing - self.known.keys())
         short = [w for w in new if len(w.encode()) <= SHORT]
         self.known.update((short[i], (said, n, data)) for i, said, n, data in self.contract([w.encode() for w in short]))
         for w in new:
@@ -316,6 +332,7 @@ def encode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        table.close()
 
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -334,6 +351,7 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str
             for a in range(0, batch.num_rows, 500):
                 here = batch.slice(a, 500)
                 yield pa.RecordBatch.from_arrays([here.column("key"), pa.array(table.decoded(here.column("ids")), pa.binary())], [key, "decoded"])
+        table.close()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, decoded binary")
