@@ -310,7 +310,7 @@ def coded(split: Splitter, table: MergeTable, texts: list[str | None], with_ids:
                 n += sum([r[1] for r in rows])
                 if with_ids:
                     ids.append(np.array(said.split(), dtype=np.int32))
-        out[i] = (n, sha.hexdigest(), back.hexdigest(), np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
+        out[i] = (n, sha.hexdigest(), back.hexdigest(), np.concatenate(ids) if ids else NO_IDS)
     return out
 
 
