@@ -128,7 +128,7 @@ def measure(path: str, language: str, text: str) -> tuple[list[dict], list[dict]
     imports = dict(parsed.imports)
     if language != "python":
         for m in _IMPORTED.finditer(text):
-            imports.setdefault(m[2] or re.split(r"[./:\\]+", m[1].rstrip("./:\;"))[-1], re.sub(r"::|[/\\]", ".", m[1]))
+            imports.setdefault(m[2] or re.split(r"[./:\\]+", m[1].rstrip(r"./:\;"))[-1], re.sub(r"::|[/\\]", ".", m[1]))
     counts = {
         "cloc": total["cloc"],
         "sloc": sum(1 for x in raw if x.strip()),
