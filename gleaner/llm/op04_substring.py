@@ -1,23 +1,30 @@
 """Substring dedup by De Bruijn compaction.
 
-Edges of the graph are k-mers of `width` words, between their first and last width - 1 words. Paths of edges that share
-an anchor are one row from the start (see ``repeats``). A join with the counts by anchor tells repeated paths that do not
-branch, kept whole, from branching ones. Those are undone into their edges; counts by edge find the repeated ones, and a
-join hands them back to the documents. By source coordinates adjoining repeated paths and edges are compacted into
-maximal spans, and the spans' words are removed from every document.
-
-Defined results: null, empty and shorter texts lose nothing; repeated rows count as occurrences of each other's windows;
-rows with equal doc_id and different texts are separate; an empty table gives an empty result; other columns are ignored.
+Edges of the graph are k-mers of `width` words, nodes their first and last width - 1 words. Consecutive edges of a text
+that share an anchor are one path from the start (see ``repeats``), and equal paths are one row with its number of
+occurrences and the source coordinates of its first one, its representative. Paths whose anchor has no other path repeat
+whole. All others are undone into their edges, read at the representative's coordinates, and counts by edge find the
+repeated ones. Repeated edges and paths are the graph; counts by node give its degrees. What adjoins at a node with one
+way in and one way out is compacted, first along the representatives' documents, then by joins that double the reach of
+each pointer until every piece knows the first one of its nonbranching path (``compact``).
+
+Paths return to all their occurrences by a join. There the words at the source coordinates are compared, by SHA-256, with
+those of the representative, and an occurrence with other words is not removed. Every word covered by a repeated edge is.
+
+Defined results: null, empty and shorter texts lose nothing; a text of any length is read in stretches; repeated rows count
+as occurrences of each other's windows; rows with equal doc_id and different texts are separate; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import repeats
@@ -60,46 +67,133 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield i, _Words.hashes(words)
 
 
-def _edges(docs: DataFrame, width: int) -> DataFrame:
-    """(h, g, key, rid, pos, times): edges of the branching paths of each document."""
-    kind = docs.schema["key"].dataType.simpleString()
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _check(words: list[bytes], begin: int, count: int, width: int) -> int:
+    """The first 64 bits of the SHA-256 of the words under `count` windows."""
+    return int.from_bytes(hashlib.sha256(b" ".join(words[begin : begin + count + width - 1])).digest()[:8], "little", signed=True)
+
+
+def _segments(docs: DataFrame, width: int) -> DataFrame:
+    """The paths of each representative's document with their end nodes and the check of their words, and the edges (check null) of branching ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, most=1 << 20)):
+            rids = batch.column("rid").to_pylist()
             out: list[tuple] = []
-            for i, (text, (pos, n, times)) in enumerate(zip(batch.column("text").to_pylist(), repeats.lists(batch.column("paths"), "pos", "n", "times"), strict=True)):
-                symbols = _Words.hashes(split(text))
-                for p, k, t in zip(pos.tolist(), n.tolist(), times.tolist(), strict=True):
-                    out.append((*repeats.window_hashes(symbols, p, k, width), np.full(k, i), np.arange(p, p + k, dtype=np.int32), np.full(k, t, dtype=np.int32)))
+            for i, (text, lists) in enumerate(zip(batch.column("text").to_pylist(), repeats.lists(batch.column("paths"), "pos", "n", "times", "anchor", "digest", "branches"), strict=True)):
+                words = split(text)
+                symbols = _Words.hashes(words)
+                for p, k, times, anchor, digest, branches in zip(*(x.tolist() for x in lists), strict=True):
+                    h, g = repeats.window_hashes(symbols, p, k + 1, width - 1)
+                    nodes = repeats.mix(h ^ (g << np.uint64(1)))
+                    out.append(([(anchor, digest, rids[i], times, branches)], [p], [k], nodes[:1], nodes[-1:], [_check(words, p, k, width)]))
+                    if branches:
+                        out.append(([(anchor, digest, rids[i], times, True)] * k, range(p, p + k), [1] * k, nodes[:-1], nodes[1:], [None] * k))
             if out:
-                h, g, row, pos, times = (np.concatenate(x) for x in zip(*out, strict=True))
-                row = pa.array(row)
-                columns = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), pa.array(pos), pa.array(times)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "g", "key", "rid", "pos", "times"])
-
-    return docs.select("key", "rid", "text", "paths").mapInArrow(run, f"h long, g long, key {kind}, rid long, pos int, times int")
+                own, at, n, a, b, check = zip(*out, strict=True)
+                anchor, digest, rid, times, branches = zip(*(r for x in own for r in x), strict=True)
+                flat = lambda lists: [v for x in lists for v in x]
+                columns = [*(pa.array(x, pa.int64()) for x in (anchor, digest, rid)), pa.array(flat(at), pa.int32()), pa.array(flat(n), pa.int32())]
+                columns += [_signed(np.concatenate(a)), _signed(np.concatenate(b)), pa.array(times, pa.int64()), pa.array(branches), pa.array(flat(check), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "rid", "at", "n", "a", "b", "times", "branches", "check"])
+
+    return docs.select("rid", "text", "paths").mapInArrow(run, "anchor long, digest long, rid long, at int, n int, a long, b long, times long, branches boolean, check long")
+
+
+def compact(graph: DataFrame, scratch: repeats.Scratch) -> DataFrame:
+    """graph with `path`: the same for all its rows on one maximal nonbranching path, one of their ids; kept as `compacted`.
+
+    graph: id (unique), a and b (nodes), n (edges), rid and at (source coordinates).
+    """
+    inner = graph.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(graph.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    inner = inner.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).filter("out = 1 AND in = 1").select("node")
+    along = Window.partitionBy("rid").orderBy("at", "id")
+    linked = graph.join(inner.withColumn("joined", F.lit(True)), graph.a == inner.node, "left").drop("node")
+    # One document's rows: as many as it is long, and the window streams over them.
+    linked = linked.withColumn("first", ~(F.coalesce("joined", F.lit(False)) & F.coalesce((F.lag(F.col("at") + F.col("n")).over(along) == F.col("at")) & (F.lag("b").over(along) == F.col("a")), F.lit(False))))
+    linked = scratch.keep(linked.withColumn("part", F.last(F.expr("if(first, id, null)"), ignorenulls=True).over(along)), "linked")
+    # Parts end where the next row of their document starts another one, or nowhere.
+    ends = linked.groupBy("part").agg(F.max_by("b", "at").alias("b"))
+    starts = linked.filter("first AND joined").select(F.col("part").alias("next"), F.col("a"))
+    links = starts.join(ends, starts.a == ends.b).filter("next <> part").select(F.col("next").alias("part"), F.col("part").alias("up"))
+    heads = linked.filter("first").select("part").join(links, "part", "left")
+    now = scratch.keep(heads.select("part", F.coalesce("up", "part").alias("up"), F.col("part").alias("least"), F.col("up").isNull().alias("done")), "heads-0")
+    sign, turn = None, 0
+    # Unchanged means that what is not done lies on circles, and that each of those knows its least id.
+    while (fresh := tuple(now.filter("NOT done").agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("part", "least")), F.sum(F.xxhash64("part", "least").cast("decimal(38,0)"))).first())) != sign and fresh[0]:
+        to = now.select(F.col("part").alias("at"), F.col("up").alias("up2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+        moved = now.filter("NOT done").join(to, F.col("up") == F.col("at")).select("part", F.col("up2").alias("up"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"))
+        sign, turn = fresh, turn + 1
+        now = scratch.keep(now.filter("done").unionByName(moved), f"heads-{turn}")
+        scratch.drop(f"heads-{turn - 1}")
+    names = now.select("part", F.when(F.col("done"), F.col("up")).otherwise(F.col("least")).alias("path"))
+    out = scratch.keep(linked.join(names, "part").select(*graph.columns, "path"), "compacted")
+    scratch.drop("linked", f"heads-{turn}")
+    return out
+
+
+#: Neighbouring repeated edges on one compacted path become one run (off, m, path).
+_RUNS = """aggregate(array_sort(found), cast(array() as array<struct<off: int, m: int, path: bigint>>), (acc, x) ->
+  if(size(acc) > 0 and element_at(acc, -1).off + element_at(acc, -1).m = x.off and element_at(acc, -1).path = x.path,
+     concat(slice(acc, 1, size(acc) - 1), array(named_struct('off', element_at(acc, -1).off, 'm', element_at(acc, -1).m + 1, 'path', x.path))),
+     concat(acc, array(named_struct('off', x.off, 'm', 1, 'path', x.path)))))"""
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, rid, runs): per document with repeats, the compacted paths and the single repeated edges as runs (at, n) of edges."""
+    """(key, rid, runs): per document with repeats, its runs of repeated edges.
+
+    A run: the piece it lies in (pos, n, check), its edges (at, m; the piece stands `times` times in a row) and its compacted path.
+    """
     docs, scratch = repeats.keyed(df, key, text), repeats.Scratch(df.sparkSession)
     found = scratch.keep(repeats.occurrences(docs, read, width, gram), "pieces")
     counts = scratch.keep(repeats.repeated_anchors(found), "counts")
-    chosen = scratch.keep(spread_join(found.select("anchor", "key", "rid", "pos", "n", "times"), counts, ["anchor"], "n_pieces").drop("anchor"), "chosen")
+    chosen = scratch.keep(spread_join(found.select("anchor", "digest", "key", "rid", "pos", "n", "times"), counts, ["anchor"], "n_pieces"), "chosen")
     scratch.drop("pieces", "counts")
+    paths = chosen.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.first("branches").alias("branches"), F.min(F.struct("rid", "key", "pos", "n")).alias("source"))
+    paths = scratch.keep(paths.select("source.*", "anchor", "digest", "times", "branches"), "paths")
+    n_paths = paths.count()
     # A document's own pieces: as many as it is long.
-    branching = chosen.filter("branches")
-    n_paths = branching.count()
-    branching = branching.groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "times")).alias("paths"))
-    edges = scratch.keep(_edges(repeats.same_row(docs, branching, n_paths), width), "edges")
-    twice = scratch.keep(edges.groupBy("h", "g").agg(F.sum("times").alias("n")).filter("n > 1"), "twice")
-    single = spread_join(edges.filter("times = 1"), twice, ["h", "g"], "n").select("key", "rid", F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")).alias("run"))
-    whole = chosen.filter("NOT branches OR times > 1").select("key", "rid", F.struct(F.col("pos").alias("at"), (F.col("n") * F.col("times")).alias("n")).alias("run"))
-    spans = durable(whole.unionByName(single).groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
-    scratch.drop("chosen", "edges", "twice")
+    sources = paths.groupBy("key", "rid").agg(F.collect_list(F.struct("pos", "n", "times", "anchor", "digest", "branches")).alias("paths"))
+    segments = scratch.keep(_segments(repeats.same_row(docs, sources, n_paths), width), "segments")
+    # Rows that agree in doc_id and text emit their paths once each.
+    whole = segments.filter("check IS NOT NULL").groupBy("anchor", "digest", "times", "branches", "rid", "at", "n", "a", "b").agg(F.min("check").alias("check"))
+    edges = segments.filter("check IS NULL")
+    twice = edges.groupBy("a", "b").agg(F.sum("times").alias("total"), F.min(F.struct("rid", "at")).alias("source")).filter("total > 1")
+    twice = twice.select(F.xxhash64("a", "b").alias("id"), "a", "b", F.lit(1).alias("n"), "source.rid", "source.at", "total")
+    kept = whole.filter("NOT branches").select(F.xxhash64("anchor", "digest", "n").alias("id"), "a", "b", "n", "rid", "at", F.lit(None).cast("long").alias("total"))
+    graph = compact(scratch.keep(twice.unionByName(kept), "graph"), scratch)
+    scratch.drop("graph")
+    single = spread_join(edges.filter("times = 1").select("anchor", "digest", "at", "a", "b"), graph.filter("total IS NOT NULL").select("a", "b", "path", "total"), ["a", "b"], "total")
+    single = single.groupBy("anchor", "digest").agg(F.collect_set(F.struct(F.col("at").alias("off"), F.lit(1).alias("m"), "path")).alias("found"))
+    single = single.select("anchor", "digest", F.expr(_RUNS).alias("found"))
+    named = graph.filter("total IS NULL").select("id", "path")
+    marked = whole.withColumn("id", F.xxhash64("anchor", "digest", "n")).join(named, "id", "left").join(single, ["anchor", "digest"], "left").filter("NOT branches OR times > 1 OR found IS NOT NULL")
+    every = F.array(F.struct(F.col("at").alias("off"), F.col("n").alias("m"), "path"))
+    marked = marked.select("anchor", "digest", F.col("at").alias("start"), "check", "times", F.when(~F.col("branches") | (F.col("times") > 1), every).otherwise(F.col("found")).alias("found"))
+    marked = scratch.keep(marked.withColumnRenamed("times", "total"), "marked")
+    runs = spread_join(chosen.select("anchor", "digest", "key", "rid", "pos", "n", "times"), marked, ["anchor", "digest"], "total").withColumn("run", F.explode("found"))
+    at = (F.col("pos") + F.col("run.off") - F.col("start")).alias("at")
+    m = F.when(F.col("times") > 1, F.col("n") * F.col("times")).otherwise(F.col("run.m")).alias("m")
+    runs = runs.select("key", "rid", F.struct("pos", "n", "times", "check", at, m, "run.path").alias("run"))
+    spans = durable(runs.groupBy("key", "rid").agg(F.collect_list("run").alias("runs")))
+    scratch.drop("chosen", "paths", "segments", "compacted", "marked")
     return spans
 
 
+def _verified(words: list[bytes], pos: np.ndarray, n: np.ndarray, times: np.ndarray, check: np.ndarray, width: int) -> np.ndarray:
+    """Whether the words of each piece have the check of its path, `times` times in a row."""
+    known: dict[tuple[int, ...], bool] = {}
+    places = list(zip(pos.tolist(), n.tolist(), times.tolist(), check.tolist(), strict=True))
+    for p, k, t, c in places:
+        if (p, k, t, c) not in known:
+            again = words[p : p + k * (t - 1) + width - 1] == words[p + k : p + k * t + width - 1] if t > 1 else True
+            known[p, k, t, c] = again and _check(words, p, k, width) == c
+    return np.array([known[place] for place in places], dtype=bool)
+
+
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """Per row: key, n_words, n_removed, kept_sha256, and the kept words (kept) and removed spans (begin, end) if with_text."""
     docs = repeats.keyed(df, key, text)
@@ -109,9 +203,10 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
             n, removed, sha, kept, cut = [], [], [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("runs"), "at", "n"), strict=True):
+            for text, (*source, at, m) in zip(batch.column("text").to_pylist(), repeats.lists(batch.column("runs"), "pos", "n", "times", "check", "at", "m"), strict=True):
                 words = split(text)
-                b, e = repeats.covered(*(x.astype(np.int64) for x in runs), width)
+                same = _verified(words, *source, width)
+                b, e = repeats.covered(at[same].astype(np.int64), m[same].astype(np.int64), width)
                 out, at = [], 0
                 for x, y in zip(b.tolist(), e.tolist(), strict=True):
                     out += words[at:x]

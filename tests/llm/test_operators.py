@@ -211,6 +211,49 @@ def test_substring(docs, none):
     assert op04_substring.remove(none).count() == 0
 
 
+def brute_paths(rows):
+    """Sets of ids on one maximal nonbranching path each; rows are (id, a, b)."""
+    ways = lambda k: Counter(r[k] for r in rows)
+    out, into = ways(1), ways(2)
+    starts = {r[1]: r[0] for r in rows}
+    group = {r[0]: {r[0]} for r in rows}
+    for i, _, b in rows:
+        if out[b] == into[b] == 1 and starts[b] not in group[i]:
+            both = group[i] | group[starts[b]]
+            for j in both:
+                group[j] = both
+    return {frozenset(g) for g in group.values()}
+
+
+def test_compacted_paths(spark):
+    rng = random.Random(8)
+    rows = [(i, i, i + 1, 1, 0, i) for i in range(40)]  # along one document
+    rows += [(100 + i, 200 + i, 201 + i, 1, i, 7) for i in range(37)]  # each from another document
+    rows += [(300 + i, 400 + i, 400 + (i + 1) % 11, 1, i % 3, 50 + i) for i in range(11)]  # a circle
+    rows += [(500, 600, 600, 1, 9, 9)]  # a loop
+    rows += [(700 + i, 800 + rng.randrange(30), 800 + rng.randrange(30), rng.randrange(1, 4), rng.randrange(4), 100 + 5 * i) for i in range(40)]
+    graph = spark.createDataFrame(rows, "id long, a long, b long, n int, rid long, at int").repartition(5)
+    got = {}
+    for r in op04_substring.compact(graph, op04_substring.repeats.Scratch(spark)).collect():
+        got.setdefault(r.path, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == brute_paths([r[:3] for r in rows])
+    assert all(path in ids for path, ids in got.items())
+    assert op04_substring.compact(graph.filter("id < 0"), op04_substring.repeats.Scratch(spark)).count() == 0
+
+
+def test_occurrences_with_other_words_stay():
+    words = [b"%d" % (i % 50) for i in range(200)]
+    check = op04_substring._check(words, 3, 20, 35)
+    source = [np.array(x) for x in ([3, 53, 4, 3], [20, 20, 20, 20], [1, 1, 1, 2], [check, check, check, check])]
+    assert op04_substring._verified(words, *source, 35).tolist() == [True, True, False, False]
+    words = [b"%d" % (i % 5) for i in range(200)]
+    check = op04_substring._check(words, 3, 5, 35)
+    assert op04_substring._verified(words, *(np.array(x) for x in ([3], [5], [20], [check])), 35).tolist() == [True]
+    words[90] = b"x"
+    assert op04_substring._verified(words, *(np.array(x) for x in ([3], [5], [20], [check])), 35).tolist() == [False]
+
+
+
 def brute_bytes(width):
     data = [(r[1] or "").encode() for r in texts()]
     seen = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
