@@ -53,7 +53,7 @@ class _Words:
             cls.known.update(zip(order, range(len(cls.known), len(cls.known) + len(order)), strict=True))
             fresh = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in order]), dtype=np.uint64).reshape(-1, 2).T
             cls.codes = np.concatenate([cls.codes, fresh], axis=1)
-        return cls.codes[:, np.fromiter(map(cls.known.__getitem__, words), dtype=np.int64, count=len(words))]
+        return cls.codes.take(np.fromiter(map(cls.known.__getitem__, words), dtype=np.int64, count=len(words)), axis=1)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -61,14 +61,15 @@ def split(text: str | None) -> list[bytes]:
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for i, text in enumerate(batch.column("text").to_pylist()):
-        words = split(text)
-        if len(words) >= WIDTH:
-            yield i, _Words.hashes(words)
+    texts = [(i, words) for i, words in enumerate(map(split, batch.column("text").to_pylist())) if len(words) >= WIDTH]
+    yield from zip([i for i, _ in texts], _symbols([words for _, words in texts]), strict=True)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _symbols(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Of each text; the words of all of them are looked up at once."""
+    codes = _Words.hashes([w for words in texts for w in words])
+    ends = np.cumsum([0, *map(len, texts)]).tolist()
+    return [codes[:, a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _check(words: list[bytes], begin: int, count: int, width: int) -> int:
@@ -78,27 +79,36 @@ def _check(words: list[bytes], begin: int, count: int, width: int) -> int:
 
 def _segments(docs: DataFrame, width: int) -> DataFrame:
     """The paths of each representative's document with their end nodes and the check of their words, and the edges (check null) of branching ones."""
+    fields = ("pos", "n", "times", "anchor", "digest", "branches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b, most=1 << 20)):
-            rids = batch.column("rid").to_pylist()
-            out: list[tuple] = []
-            for i, (text, lists) in enumerate(zip(batch.column("text").to_pylist(), repeats.lists(batch.column("paths"), "pos", "n", "times", "anchor", "digest", "branches"), strict=True)):
-                words = split(text)
-                symbols = _Words.hashes(words)
-                for p, k, times, anchor, digest, branches in zip(*(x.tolist() for x in lists), strict=True):
-                    h, g = repeats.window_hashes(symbols, p, k + 1, width - 1)
-                    nodes = repeats.mix(h ^ (g << np.uint64(1)))
-                    out.append(([(anchor, digest, rids[i], times, branches)], [p], [k], nodes[:1], nodes[-1:], [_check(words, p, k, width)]))
-                    if branches:
-                        out.append(([(anchor, digest, rids[i], times, True)] * k, range(p, p + k), [1] * k, nodes[:-1], nodes[1:], [None] * k))
-            if out:
-                own, at, n, a, b, check = zip(*out, strict=True)
-                anchor, digest, rid, times, branches = zip(*(r for x in own for r in x), strict=True)
-                flat = lambda lists: [v for x in lists for v in x]
-                columns = [*(pa.array(x, pa.int64()) for x in (anchor, digest, rid)), pa.array(flat(at), pa.int32()), pa.array(flat(n), pa.int32())]
-                columns += [_signed(np.concatenate(a)), _signed(np.concatenate(b)), pa.array(times, pa.int64()), pa.array(branches), pa.array(flat(check), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "rid", "at", "n", "a", "b", "times", "branches", "check"])
+            texts = [split(t) for t in batch.column("text").to_pylist()]
+            columns: list[list] = [[] for _ in range(8)]
+            shown: list[tuple] = []
+            for i, (words, symbols, lists) in enumerate(zip(texts, _symbols(texts), repeats.lists(batch.column("paths"), *fields), strict=True)):
+                if not len(lists[0]):
+                    continue
+                nodes = repeats.window_hashes(symbols, 0, len(words) - width + 2, width - 1)
+                nodes = repeats.mix(nodes[0] ^ (nodes[1] << np.uint64(1)))
+                pos, n, times, anchor, digest, branches = lists
+                check = np.array([_check(words, p, k, width) for p, k in zip(pos.tolist(), n.tolist(), strict=True)], dtype=np.int64)
+                # The paths themselves, then the edges of those that branch.
+                which = np.repeat(np.arange(len(pos)), np.where(branches, n, 0))
+                first = np.cumsum(np.where(branches, n, 0)) - np.where(branches, n, 0)
+                at = np.concatenate([pos, pos[which] + np.arange(len(which)) - first[which]])
+                size = np.concatenate([n, np.ones(len(which), dtype=n.dtype)])
+                both = np.concatenate([np.arange(len(pos)), which])
+                row = anchor[both], digest[both], np.full(len(both), i), at, size, nodes[at], nodes[at + size], times[both]
+                for column, values in zip(columns, row, strict=True):
+                    column.append(values)
+                shown.append((branches[both], check[both], np.arange(len(both)) >= len(pos)))
+            if shown:
+                anchor, digest, row, at, n, a, b, times = map(np.concatenate, columns)
+                branches, check, none = (np.concatenate(x) for x in zip(*shown, strict=True))
+                arrays = [pa.array(anchor), pa.array(digest), batch.column("rid").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+                arrays += [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(times), pa.array(branches), pa.array(check, mask=none)]
+                yield pa.RecordBatch.from_arrays(arrays, ["anchor", "digest", "rid", "at", "n", "a", "b", "times", "branches", "check"])
 
     return docs.select("rid", "text", "paths").mapInArrow(run, "anchor long, digest long, rid long, at int, n int, a long, b long, times long, branches boolean, check long")
 

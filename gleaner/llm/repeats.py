@@ -79,22 +79,32 @@ def least_of_each(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - span :][: len(x) - width + 1]) if span < width else out
 
 
-def find_pieces(symbols: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, digest, first window, number of windows, times) of a text's pieces; equal pieces one after another, as periodic text has them, are one with `times`."""
+def find_pieces(symbols: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, digest, text, first window in it, number of windows, times) of the pieces of texts that stand one after another and end at `ends`.
+
+    No text is shorter than `width`. Equal pieces one after another, as periodic text has them, are one with `times`.
+    """
     out: list[tuple] = []
-    for a in range(0, symbols.shape[1] - width + 1, STRETCH):
+    # Windows that cross the end of a text lie between those of two texts and are left out.
+    within = np.ones(max(symbols.shape[1] - width + 1, 0), dtype=bool)
+    for k in range(1, width):
+        within[ends[:-1] - k] = False
+    for a in range(0, len(within), STRETCH):
         part = symbols[:, a : a + STRETCH + width - 1]
         hashes = Rolling(part[0], 0).each(gram)
         # The least hash by its upper bits, and of equal ones the leftmost: its place is in the lower bits.
         least = least_of_each((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), width - gram + 1)
-        begin = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        inside = within[a : a + len(least)]
+        begin = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])))
         count = np.diff(np.append(begin, len(least)))
+        begin, count = begin[inside[begin]], count[inside[begin]]
         out.append((hashes[(least[begin] & _PLACE).astype(np.int64)], Rolling(part[1], 1).of(begin, count + (width - 1)), begin + a, count))
     if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     a, d, p, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    text = np.searchsorted(ends, p, side="right")
     head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (n[1:] != n[:-1]) | (p[1:] != p[:-1] + n[:-1])))
-    return a[head], d[head], p[head], n[head], np.diff(np.append(head, len(a)))
+    return a[head], d[head], text[head], (p - np.append(0, ends)[text])[head], n[head], np.diff(np.append(head, len(a)))
 
 
 def window_hashes(symbols: np.ndarray, begin: int, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +151,7 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Texts of a batch that have a window, by their place, with their symbols.
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
 
 
@@ -148,21 +159,33 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), row_key(F.col(key), F.col(text)).alias("rid"), F.col(text).alias("text"))
 
 
+def _groups(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Texts of one stretch together, so that only a text longer than that is cut, wherever it stands."""
+    group, size = [], 0
+    for i, symbols in texts:
+        if group and size + symbols.shape[1] > STRETCH:
+            yield group
+            group, size = [], 0
+        group.append((i, symbols))
+        size += symbols.shape[1]
+    if group:
+        yield group
+
+
 def occurrences(docs: DataFrame, read: Reader, width: int, gram: int) -> DataFrame:
     """(anchor, digest, key, rid, pos, n, times): the pieces of keyed documents."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in pieces(b)):
-            found, rows = [], []
-            for i, symbols in read(batch):
-                got = find_pieces(symbols, width, gram)
-                found.append(got)
-                rows.append(np.full(len(got[0]), i))
+            found = []
+            for group in _groups(read(batch)):
+                a, d, text, p, n, times = find_pieces(np.concatenate([x for _, x in group], axis=1), np.cumsum([x.shape[1] for _, x in group]), width, gram)
+                found.append((a, d, np.array([i for i, _ in group])[text], p, n, times))
             if not found:
                 continue
-            row = pa.array(np.concatenate(rows))
-            a, d, p, n, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, d, row, p, n, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            row = pa.array(row)
             numbers = [pa.array(x.astype(np.int32)) for x in (p, n, times)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), batch.column("key").take(row), batch.column("rid").take(row), *numbers], ["anchor", "digest", "key", "rid", "pos", "n", "times"]

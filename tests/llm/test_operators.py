@@ -241,6 +241,17 @@ def test_compacted_paths(spark):
     assert op04_substring.compact(graph.filter("id < 0"), op04_substring.repeats.Scratch(spark)).count() == 0
 
 
+def test_pieces_of_texts_together():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, high, (2, int(n)), dtype=np.uint64) for n, high in zip(rng.integers(35, 400, 60), itertools.cycle([1, 3, 1 << 60]), strict=False)]
+    find = lambda group: op04_substring.repeats.find_pieces(np.concatenate(group, axis=1), np.cumsum([x.shape[1] for x in group]), 35, 8)
+    together, apart = list(zip(*(x.tolist() for x in find(texts)), strict=True)), []
+    for i, text in enumerate(texts):
+        apart += [(a, d, i, p, n, t) for a, d, _, p, n, t in zip(*(x.tolist() for x in find([text])), strict=True)]
+        assert sum(n * t for _, _, k, _, n, t in together if k == i) == text.shape[1] - 34
+    assert together == apart
+
+
 def test_occurrences_with_other_words_stay():
     words = [b"%d" % (i % 50) for i in range(200)]
     check = op04_substring._check(words, 3, 20, 35)
