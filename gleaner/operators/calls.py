@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import module_and_symbol, python_module, symbol_tail
+from gleaner.operators.nearest import nearest_start
 
 
 def unique_names(methods: DataFrame) -> DataFrame:
@@ -18,23 +19,30 @@ def unique_names(methods: DataFrame) -> DataFrame:
 
 def resolve_callers(sites: DataFrame, methods: DataFrame) -> DataFrame:
     """(site, caller): exact id; else (file, class, name); else (file, name); nearest start, then order. sites: site, caller_id, file, cls, name, line."""
-    m = methods.select(F.col("method").alias("m_id"), F.col("file").alias("m_file"), F.col("cls").alias("m_cls"), F.col("name").alias("m_name"), F.col("start").alias("m_start"))
-    tiers = [
-        F.col("caller_id") == F.col("m_id"),
-        (F.col("file") == F.col("m_file")) & (F.col("cls") == F.col("m_cls")) & (F.col("name") == F.col("m_name")),
-        (F.col("file") == F.col("m_file")) & (F.col("name") == F.col("m_name")),
-    ]
-    return _cascade(sites, m, tiers, F.col("line"), "caller")
+    none = F.lit("")
+
+    def keyed(tiers: list[tuple[Column, ...]]) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), *[c.cast("string").alias(k) for k, c in zip(KEYS, x, strict=True)]) for i, x in enumerate(tiers, 1)])).alias("k")
+
+    def tiers(own: str) -> list[tuple[Column, ...]]:
+        file, cls, name = F.col("file"), F.col("cls"), F.col("name")
+        return [(F.col(own), none, none), (file, cls, name), (file, none, name)]
+
+    a = sites.select("site", F.col("line").alias("at"), keyed(tiers("caller_id"))).select("site", "at", "k.*")
+    b = methods.select(F.col("method").alias("m_id"), F.col("file").alias("m_file"), F.col("start").alias("m_start"), keyed(tiers("method"))).select("m_id", "m_file", "m_start", "k.*")
+    return _first(a, b, ["tier", *KEYS], "caller")
+
+
+#: Parts of a key by which a caller is found.
+KEYS = ("by_file", "by_cls", "by_name")
 
 
-def _cascade(sites: DataFrame, methods: DataFrame, tiers: list[Column], at: Column, name: str) -> DataFrame:
-    """The best hit of each site by tier, nearness and order."""
-    hits = None
-    for i, on in enumerate(tiers, 1):
-        tier = sites.join(methods, on).select("site", F.struct(F.lit(i).alias("tier"), F.abs(F.col("m_start") - at).alias("far"), F.col("m_file"), F.col("m_start"), F.col("m_id")).alias("hit"))
-        hits = tier if hits is None else hits.unionByName(tier)
-    best = hits.groupBy("site").agg(F.min("hit").alias("b"))
-    return best.select("site", F.col("b.tier").alias("tier"), F.col("b.m_id").alias(name))
+def _first(sites: DataFrame, methods: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(site, tier, method): the best hit of each site by tier, nearness and order. sites: site, at, tier, keys; methods: m_id, m_file, m_start, keys."""
+    near = nearest_start(sites, methods, keys, "at", "m_start", ["m_file", "m_start", "m_id"]).withColumnRenamed("at", "_to")
+    found = sites.join(near, keys).filter(F.col("at").eqNullSafe(F.col("_to")))
+    best = found.groupBy("site").agg(F.min(F.struct("tier", "hit")).alias("b"))
+    return best.select("site", F.col("b.tier").alias("tier"), F.col("b.hit.order.m_id.it").alias(name))
 
 
 def resolve_callees(sites: DataFrame, methods: DataFrame, imports: DataFrame | None = None, within: list[str] = []) -> DataFrame:  # noqa: B006
