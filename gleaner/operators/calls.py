@@ -96,9 +96,7 @@ def resolve_callees(sites: DataFrame, methods: DataFrame, imports: DataFrame | N
 
     a = s.select("site", *within, F.col("start").alias("at"), keyed(0)).select("site", *within, "at", "k.i", "k.tier", "k.key")
     b = m.select(*within, F.col("method").alias("m_id"), F.col("file").alias("m_file"), F.col("start").alias("m_start"), keyed(1)).select(*within, "m_id", "m_file", "m_start", "k.i", "k.key")
-    hit = F.struct("tier", F.abs(F.col("m_start") - F.col("at")).alias("far"), "m_file", "m_start", "m_id")
-    best = a.join(b, [*within, "i", "key"]).groupBy("site").agg(F.min(hit).alias("b"))
-    return best.select("site", F.col("b.tier").alias("tier"), F.col("b.m_id").alias("callee"))
+    return _first(a, b, [*within, "i", "key"], "callee")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, node: str = "node", caller: str = "caller", callee: str = "callee") -> DataFrame:

@@ -64,3 +64,36 @@ def test_callers_make_no_product(spark):
     ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, "java") for i in range(n)], METHODS)
     sites = spark.createDataFrame([(i, -1, "f", "?", "x", i % 60) for i in range(n)], "site int, caller_id int, file string, cls string, name string, line int")
     assert most_rows(calls.resolve_callers(sites, ms)) <= 8 * n
+
+
+def test_callees_with_nulls(spark):
+    rng = random.Random(2)
+    ms = _methods(rng, 120) + [(500 + i, "f0", "", f"only{i}", i, "java") for i in range(5)]
+    sites = [(i, odd(rng, f"f{rng.randrange(3)}"), odd(rng, rng.choice(["", "A"])), odd(rng, rng.randrange(40)), "java", odd(rng, rng.choice(["x", "y", "only3", "no"])), None, odd(rng, "p.B"), None) for i in range(150)]
+    names = [m[3] for m in ms]
+    want = {}
+    for site, file, cls, at, _, callee, _, inferred, _ in sites:
+        of = inferred and inferred.split(".")[-1]
+        tiers = {
+            1: lambda m: cls and m[2] == cls and m[1] == file is not None,  # noqa: B023
+            2: lambda m: m[1] == file is not None,  # noqa: B023
+            3: lambda m: of and m[2] == of,  # noqa: B023
+            11: lambda m: names.count(m[3]) == 1,
+        }
+        for tier, on in tiers.items():
+            hits = [m for m in ms if callee is not None and m[3] == callee and on(m)]  # noqa: B023
+            if hits:
+                want[site] = (tier, min(hits, key=lambda m: (far(m[4], at), last(m[1]), last(m[4]), last(m[0])))[0])  # noqa: B023
+                break
+    s = spark.createDataFrame(sites, SITES)
+    assert {r.site: (r.tier, r.callee) for r in calls.resolve_callees(s, spark.createDataFrame(ms, METHODS)).collect()} == want and {x for x, _ in want.values()} == {1, 2, 3, 11}
+
+
+SITES = "site int, file string, cls string, start int, language string, callee string, receiver string, inferred string, dotted string"
+
+
+def test_callees_make_no_product(spark):
+    n = 400
+    ms = spark.createDataFrame([(i, f"f{i}", "A", "x", i % 50, "java") for i in range(n)], METHODS)
+    sites = spark.createDataFrame([(i, "g", "", i % 60, "java", "x", None, "p.A", None) for i in range(n)], SITES)
+    assert most_rows(calls.resolve_callees(sites, ms)) <= 8 * n
