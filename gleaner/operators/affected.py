@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import class_hint, target_name
-from gleaner.operators.diff import overlaps
+from gleaner.operators.nearest import nearest_meeting
 
 
 def select_candidates(files: DataFrame, methods: DataFrame, hits: DataFrame, changed: DataFrame, key: str = "file") -> DataFrame:
@@ -38,18 +38,22 @@ def select_candidates(files: DataFrame, methods: DataFrame, hits: DataFrame, cha
 
 
 def match_targets(targets: DataFrame, methods: DataFrame, keys: list[str]) -> DataFrame:
-    """For each target (keys, name, long_name, start, end) the method that it stands for: same name, then class hint, range overlap, nearest start, first by id."""
-    t = targets.withColumn("_name", target_name(F.col("name"))).withColumn("_hint", class_hint(F.coalesce("long_name", F.lit("")), F.col("_name")))
-    m = methods.select(*keys, F.col("name").alias("_name"), F.col("cls").alias("_cls"), F.col("method"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))
-    j = t.join(m, [*keys, "_name"]).withColumns(
-        {
-            "_in_class": F.coalesce((F.col("long_name") != "") & (F.col("_cls") == F.col("_hint")), F.lit(False)).cast("int"),
-            "_meets": F.coalesce(overlaps(F.col("start"), F.col("end"), F.col("m_start"), F.col("m_end")), F.lit(False)).cast("int"),
-            "_far": F.coalesce(F.abs(F.col("m_start") - F.col("start")), F.lit(0)),
-        }
-    )
-    w = Window.partitionBy(*keys, "name", "long_name", "start", "end").orderBy(F.desc("_in_class"), F.desc("_meets"), "_far", "method")
-    return j.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*targets.columns, "method")
+    """For each target (keys, name, long_name, start, end) the method that it stands for: same name, then class hint, range overlap, nearest start, first by id.
+
+    A target is compared with the methods of its class where there are any, else with all of its name.
+    """
+    by = [*keys, "_name"]
+    t = targets.distinct().withColumn("_name", target_name(F.col("name")))
+    t = t.withColumn("_hint", F.when(F.col("long_name") != "", class_hint(F.coalesce("long_name", F.lit("")), F.col("_name"))))
+    m = methods.select(*keys, F.col("name").alias("_name"), F.col("cls").alias("_hint"), "method", "start", "end")
+    t = t.join(m.select(*by, "_hint").distinct().withColumn("_known", F.lit(True)), [*by, "_hint"], "left")
+    t = t.withColumns({"_all": F.col("_known").isNull(), "_of": F.when(F.col("_known"), F.col("_hint")).otherwise("")})
+    per = m.groupBy(*by, "_hint", "start", "end").agg(F.min("method").alias("method"))
+    both = F.array(F.struct(F.lit(True).alias("_all"), F.lit("").alias("_of")), F.struct(F.lit(False).alias("_all"), F.col("_hint").alias("_of")))
+    near = nearest_meeting(t, per.withColumn("_w", F.explode(both)).select(*by, "_w.*", "start", "end", "method"), [*by, "_all", "_of"], ["method"], otherwise=True)
+    near = near.select(*by, "_all", "_of", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("hit.order.method.it").alias("method"))
+    found = t.join(near, [*by, "_all", "_of"]).filter(F.col("start").eqNullSafe(F.col("_start")) & F.col("end").eqNullSafe(F.col("_end")))
+    return found.select(*targets.columns, "method")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, to: str, tie: str, id_: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from gleaner.operators import calls
+import pytest
+
+from gleaner.operators import affected, calls, metrics
 
 
 def last(x):
@@ -97,3 +99,44 @@ def test_callees_make_no_product(spark):
     ms = spark.createDataFrame([(i, f"f{i}", "A", "x", i % 50, "java") for i in range(n)], METHODS)
     sites = spark.createDataFrame([(i, "g", "", i % 60, "java", "x", None, "p.A", None) for i in range(n)], SITES)
     assert most_rows(calls.resolve_callees(sites, ms)) <= 8 * n
+
+
+SPAN = "method int, file string, cls string, name string, start int, end int"
+
+
+def _spans(rng, n, lines=40):
+    """Ranges with nulls, and some that end before they start."""
+    out = []
+    for i in range(n):
+        a = rng.randrange(lines)
+        out.append((odd(rng, i), odd(rng, f"f{rng.randrange(2)}"), odd(rng, rng.choice("AB")), odd(rng, rng.choice("xy")), odd(rng, a), odd(rng, a + rng.choice([-2, 0, 1, 3, 9, 30]))))
+    return out
+
+
+def meets(a, b, c, d):
+    """As greatest(a, c) <= least(b, d) goes in SQL: a null is passed over."""
+    top, low = [x for x in (a, c) if x is not None], [x for x in (b, d) if x is not None]
+    return max(top) <= min(low) if top and low else None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_with_nulls(spark, seed):
+    rng = random.Random(seed)
+    ms = _spans(rng, 60)
+    ts = sorted({(m[1], m[3], odd(rng, f"{rng.choice('AC')}::{m[3]}"), m[4], m[5]) for m in _spans(rng, 120)}, key=repr)
+    want = {}
+    for file, name, long_name, a, b in ts:
+        hits = [m for m in ms if file is not None and name is not None and (m[1], m[3]) == (file, name)]
+        if hits:
+            order = {True: 0, False: 1, None: 2}
+            want[file, name, long_name, a, b] = min(hits, key=lambda m: (m[2] is None or long_name is None or m[2] != long_name[0], order[meets(a, b, m[4], m[5])], far(m[4], a), last(m[0])))[0]  # noqa: B023
+    t = spark.createDataFrame(ts, "file string, name string, long_name string, start int, end int")
+    got = affected.match_targets(t, spark.createDataFrame(ms, SPAN), ["file"])
+    assert {tuple(r)[:5]: r.method for r in got.collect()} == want and len(want) > 60
+
+
+def test_targets_make_no_product(spark):
+    n = 400
+    ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, i % 50 + i % 7) for i in range(n)], SPAN)
+    ts = spark.createDataFrame([("f", "x", "A::x", i % 60, i % 60 + 2 + i // 60) for i in range(n)], "file string, name string, long_name string, start int, end int")
+    assert most_rows(affected.match_targets(ts, ms, ["file"])) <= 20 * n
