@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.diff import overlaps
+from gleaner.operators.nearest import smallest_containing
 
 
 def halstead(df: DataFrame, eta1: str = "halstead_eta1", eta2: str = "halstead_eta2", total1: str = "halstead_total1", total2: str = "halstead_total2") -> DataFrame:
@@ -36,9 +37,16 @@ def metric_space(methods: DataFrame, spaces: DataFrame, keys: list[str], id_: st
 
 def smallest_enclosing(methods: DataFrame, nodes: DataFrame, keys: list[str], id_: str, node: str = "node", size: str = "size") -> DataFrame:
     """(id, node): the smallest node that contains each method's lines, ties by node."""
-    n = nodes.select(*keys, F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col(size).alias("_size"), F.col(node).alias("_node"))
-    hit = methods.join(n, keys).filter("n_start <= start AND n_end >= end")
-    return hit.groupBy(id_).agg(F.min(F.struct("_size", "_node")).alias("b")).select(id_, F.col("b._node").alias(node))
+    n = nodes.select(*keys, "start", "end", F.col(size).alias("_size"), F.col(node).alias("_node"))
+    hit = _back(methods, smallest_containing(methods, n, keys, ["_size", "_node"]), keys, id_)
+    return hit.select(id_, F.col("b._node.it").alias(node))
+
+
+def _back(methods: DataFrame, near: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """(id, b): the first hit of all rows with an id, from the hits of their ranges."""
+    n = near.select(*keys, F.col("start").alias("_start"), F.col("end").alias("_end"), "hit")
+    found = methods.select(id_, *[c for c in keys if c != id_], "start", "end").join(n, keys)
+    return found.filter(F.col("start").eqNullSafe(F.col("_start")) & F.col("end").eqNullSafe(F.col("_end"))).groupBy(id_).agg(F.min("hit").alias("b"))
 
 
 def hit_rate(df: DataFrame, fields: list[str]) -> DataFrame:

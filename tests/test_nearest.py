@@ -140,3 +140,24 @@ def test_targets_make_no_product(spark):
     ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, i % 50 + i % 7) for i in range(n)], SPAN)
     ts = spark.createDataFrame([("f", "x", "A::x", i % 60, i % 60 + 2 + i // 60) for i in range(n)], "file string, name string, long_name string, start int, end int")
     assert most_rows(affected.match_targets(ts, ms, ["file"])) <= 20 * n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_smallest_enclosing_with_nulls(spark, seed):
+    rng = random.Random(seed)
+    ms, ns = _spans(rng, 100), [(*m, odd(rng, rng.randrange(9))) for m in _spans(rng, 80)]
+    want = {}
+    for i, file, _, _, a, b in ms:
+        hits = [n for n in ns if None not in (file, a, b, n[4], n[5]) and n[1] == file and n[4] <= a and n[5] >= b]
+        if hits:
+            want.setdefault(i, []).append(min((last(n[6]), last(n[0])) for n in hits))
+    nodes = spark.createDataFrame(ns, SPAN + ", size int").withColumnRenamed("method", "node").drop("cls", "name")
+    got = metrics.smallest_enclosing(spark.createDataFrame(ms, SPAN), nodes, ["file"], "method")
+    assert {r.method: r.node for r in got.collect()} == {i: None if (x := min(w)[1])[0] else x[1] for i, w in want.items()} and len(want) > 50
+
+
+def test_smallest_enclosing_makes_no_product(spark):
+    n = 400
+    ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, i % 50 + i % 7) for i in range(n)], SPAN)
+    nodes = ms.selectExpr("file", "start - 2 AS start", "end + 2 AS end", "method AS node", "end - start + 4 AS size")
+    assert most_rows(metrics.smallest_enclosing(ms, nodes, ["file"], "method")) <= 12 * n
