@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.diff import overlaps
-from gleaner.operators.nearest import smallest_containing
+from gleaner.operators.nearest import nearest_meeting, smallest_containing
 
 
 def halstead(df: DataFrame, eta1: str = "halstead_eta1", eta2: str = "halstead_eta2", total1: str = "halstead_total1", total2: str = "halstead_total2") -> DataFrame:
@@ -28,11 +27,11 @@ def global_count(refs: Column, locals_: Column, file: Column, cls: Column, decla
 
 
 def metric_space(methods: DataFrame, spaces: DataFrame, keys: list[str], id_: str, values: list[str]) -> DataFrame:
-    """Each method with the values of the overlapping space that starts nearest (ties: first start); none: nulls."""
-    s = spaces.select(*keys, F.col("start").alias("s_start"), F.col("end").alias("s_end"), *values)
-    best = F.min(F.struct(F.abs(F.col("s_start") - F.col("start")).alias("far"), F.col("s_start"), *values)).alias("b")
-    hit = methods.join(s, keys).filter(overlaps(F.col("start"), F.col("end"), F.col("s_start"), F.col("s_end"))).groupBy(id_).agg(best)
-    return methods.join(hit.select(id_, *[F.col(f"b.{v}").alias(v) for v in values]), id_, "left")
+    """Each method with the values of the overlapping space that starts nearest (ties: first start, then values); none: nulls."""
+    s = spaces.select(*keys, "start", "end", F.col("start").alias("_s"), *values)
+    near = nearest_meeting(methods, s, keys, ["_s", *values])
+    hit = _back(methods, near, keys, id_)
+    return methods.join(hit.select(id_, *[F.col(f"b.order.{v}.it").alias(v) for v in values]), id_, "left")
 
 
 def smallest_enclosing(methods: DataFrame, nodes: DataFrame, keys: list[str], id_: str, node: str = "node", size: str = "size") -> DataFrame:

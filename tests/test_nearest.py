@@ -161,3 +161,24 @@ def test_smallest_enclosing_makes_no_product(spark):
     ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, i % 50 + i % 7) for i in range(n)], SPAN)
     nodes = ms.selectExpr("file", "start - 2 AS start", "end + 2 AS end", "method AS node", "end - start + 4 AS size")
     assert most_rows(metrics.smallest_enclosing(ms, nodes, ["file"], "method")) <= 12 * n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_metric_space_with_nulls(spark, seed):
+    rng = random.Random(seed)
+    ms, ss = _spans(rng, 100), _spans(rng, 80)
+    ms = [m for m in ms if m[0] is not None]
+    want = {}
+    for i, file, _, _, a, b in ms:
+        hits = [(far(s[4], a), last(s[4]), last(s[0])) for s in ss if file is not None and s[1] == file and meets(a, b, s[4], s[5])]
+        want[i] = min(hits)[2] if hits else (True, 0)
+    spaces = spark.createDataFrame(ss, SPAN).selectExpr("file", "start", "end", "method AS value")
+    got = metrics.metric_space(spark.createDataFrame(ms, SPAN), spaces, ["file"], "method", ["value"])
+    assert {r.method: r.value for r in got.collect()} == {i: None if x[0] else x[1] for i, x in want.items()}
+
+
+def test_metric_space_makes_no_product(spark):
+    n = 400
+    ms = spark.createDataFrame([(i, "f", "A", "x", i % 50, i % 50 + i % 7) for i in range(n)], SPAN)
+    spaces = ms.selectExpr("file", "start + 4 AS start", "end + 4 AS end", "method AS value")
+    assert most_rows(metrics.metric_space(ms, spaces, ["file"], "method", ["value"])) <= 12 * n
