@@ -38,7 +38,7 @@ from gleaner.llm.common import bounded_batches, documents, pieces, release
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pretokens remembered by a worker: so many, and those of a generation before.
-CACHE = 75_000
+CACHE = 130_000
 #: Texts of more characters are cut into pretokens a piece at a time.
 LONG = 1 << 20
 #: Pretokens of more bytes are cut into parts of at most so many.
@@ -55,7 +55,7 @@ WITH RECURSIVE s(step, w, pos, id, npos, nid, k) AS (
   FROM seed s LEFT JOIN merges m ON m.l = s.id AND m.r = s.nid
   UNION ALL
   (WITH least AS (SELECT w, min(k) AS best FROM s GROUP BY w HAVING min(k) IS NOT NULL),
-   t AS MATERIALIZED (
+   t AS NOT MATERIALIZED (
      SELECT s.*, (best >> 46)::INT AS merged, ((best >> 23) & 8388607)::INT AS p, (best & 8388607)::INT AS q FROM s JOIN least USING (w)),
    touched AS (
      SELECT a.step, a.w, a.pos, a.merged AS id, z.npos, z.nid
@@ -105,7 +105,7 @@ def starts(data: bytes, most: int = SHORT) -> list[int]:
 
 
 class MergeTable:
-    """A vocabulary of ranks in DuckDB, with a cache from pretoken to (ids, number of ids, decoded bytes)."""
+    """A vocabulary of ranks in DuckDB, with a cache from pretoken to ids, and the decoded bytes of those that decode to others."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -118,8 +118,9 @@ class MergeTable:
         self.tables = {"vocabulary": pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}), "merges": pa.table({"l": l, "r": r, "merged": m})}
         self.connection: duckdb.DuckDBPyConnection | None = None
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.other: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     @property
@@ -239,13 +240,27 @@ class MergeTable:
             self.older, self.known = self.known | {w: self.older[w] for w in missing if w in self.older}, {}
             missing = words
         self.known.update((w, self.older[w]) for w in missing if w in self.older)
-        new = sorted(missing - self.known.keys())
-        short = [w for w in new if len(w.encode()) <= SHORT]
-        self.known.update((short[i], (said, n, data)) for i, said, n, data in self.contract([w.encode() for w in short]))
-        for w in new:
-            if len(w.encode()) > SHORT:
-                ids = self._in_parts(w.encode())
-                self.known[w] = (" ".join(map(str, ids)), len(ids), self.decoded(pa.array([ids], pa.list_(pa.int32())))[0])
+        new = list(missing - self.known.keys())
+        raw = [w.encode() for w in new]
+        short = [i for i, x in enumerate(raw) if len(x) <= SHORT]
+        words = [raw[i] for i in short]
+        for i, said, _, data in self.contract(words):
+            self._keep(new[short[i]], said, words[i], data)
+        for w, x in zip(new, raw, strict=True):
+            if len(x) > SHORT:
+                ids = self._in_parts(x)
+                self._keep(w, " ".join(map(str, ids)), x, self.decoded(pa.array([ids], pa.list_(pa.int32())))[0])
+
+    def _keep(self, word: str, said: str, raw: bytes, data: bytes) -> None:
+        self.known[word] = said
+        if data != raw:
+            self.other[word] = data
+
+    def bytes_for(self, words: list[str]) -> bytes:
+        """The bytes that the words' ids stand for, as decoded when they were learned."""
+        if self.other:
+            return b"".join([self.other[w] if w in self.other else w.encode() for w in words])
+        return "".join(words).encode()
 
     def decoded(self, ids: pa.ListArray) -> list[bytes | None]:
         """The bytes that each list of ids stands for, by ordered aggregation; a null list's are null."""
@@ -302,12 +317,11 @@ def coded(split: Splitter, table: MergeTable, texts: list[str | None], with_ids:
         for part in [words] if words is not None else _cut(split.of(x), x):
             if words is None:
                 table.learn(set(part))
-            rows = [table.known[w] for w in part]
-            if rows:
-                said = " ".join([r[0] for r in rows])
+            if part:
+                said = " ".join(map(table.known.__getitem__, part))
                 sha.update(f" {said}".encode() if n else said.encode())
-                back.update(b"".join([r[2] for r in rows]))
-                n += sum([r[1] for r in rows])
+                back.update(table.bytes_for(part))
+                n += said.count(" ") + 1
                 if with_ids:
                     ids.append(np.array(said.split(), dtype=np.int32))
         out[i] = (n, sha.hexdigest(), back.hexdigest(), np.concatenate(ids) if ids else NO_IDS)

@@ -452,6 +452,19 @@ def test_bpe_long_text_between_short_ones(spark, monkeypatch):
     assert [x[:3] for x in op08_bpe.coded(split, table, rows, False)] == want and [x[0] for x in want] == [len(tiktoken_encoding().encode_ordinary(r or "")) for r in rows]
 
 
+def test_bpe_words_in_use_are_contracted_once(monkeypatch):
+    import public_tokenizers
+
+    table, contract, met = op08_bpe.MergeTable(public_tokenizers.path("byte_bpe_50k.tiktoken")), op08_bpe.MergeTable.contract, []
+    monkeypatch.setattr(op08_bpe.MergeTable, "contract", lambda self, words: (met.extend(words), contract(self, words))[1])
+    parts = [{f"{x}{i}" for i in range(45_000)} for x in "abc"]
+    for part in (*parts, parts[0]):
+        table.learn(part)
+    assert len(met) == 135_000 and table.bytes_for(["a1", "a2"]) == b"a1a2"
+    table.other["a2"] = b"?"
+    assert table.bytes_for(["a1", "a2"]) == b"a1?"
+
+
 def test_bpe_unbroken_runs():
     """Pretokens of any length, as tiktoken has them: random letters, digits and characters, runs and periods."""
     import public_tokenizers
