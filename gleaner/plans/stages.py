@@ -147,28 +147,33 @@ def univariate(rows: DataFrame, features: list[str], methods: tuple[str, ...] =
 
 
 def _modelled(rows: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame, list]:
+    """(cells of the windows that are used, persisted; all windows; those used)."""
     numbered = model.assembled(timeline.numbered(rows), features).select("dataset", "commit_id", "date", "label", "idx", "features").persist()
     records = timeline.records(numbered, timeline.windows(numbered)).orderBy("dataset", "window_id").persist()
-    return numbered, records, records.collect()  # a handful of windows a dataset
+    wins = [w for w in records.collect() if w.used_for_modeling]  # a handful of windows a dataset
+    cells = model.sliced(numbered, wins).persist()
+    cells.count()
+    numbered.unpersist()
+    return cells, records, wins
 
 
 def forest(rows: DataFrame, features: list[str], bootstraps: int = 20, points: list[dict] | None = None) -> dict[str, DataFrame]:
     """Stage 2: per window tune, then fit on bootstraps; importances ranked by dataset and over datasets."""
     points, spark = points or model.grid(), rows.sparkSession
-    numbered, records, wins = _modelled(rows, features)
-    mdi, performance, tuned = [], [], []
-    for w in wins:
-        if not w.used_for_modeling:
-            continue
-        own = numbered.filter(F.col("dataset") == w.dataset)
-        train, test = own.filter(F.col("idx").between(w.train_start, w.train_end)), own.filter(F.col("idx").between(w.test_start, w.test_end))
-        seed = SEED + w.window_id
-        point = model.tune(train, w.train_size, seed, points)
-        tuned.append((w.dataset, w.window_id, point["trees"], point["features"], point["leaf"]))
-        for b in range(1, bootstraps + 1):
-            fitted = model.fit(model.bootstrap(train, seed * 1000 + b), point, seed * 1000 + b)
-            mdi += [(w.dataset, w.window_id, b, f, x) for f, x in model.importances(fitted, features)]
-            performance.append((w.dataset, w.window_id, b, *model.evaluate(model.predictions(fitted, test)).first()))
+    cells, records, wins = _modelled(rows, features)
+    seeds = [SEED + w.window_id for w in wins]
+    picked = model.tune(cells, wins, seeds, points, len(features))
+    wanted = [
+        (w.dataset, w.window_id, 0, b, True, model.tries(point["features"], len(features)), [point["leaf"]], [point["trees"]], seed * 1000 + b)
+        for w, seed, point in zip(wins, seeds, picked, strict=True)
+        for b in range(1, bootstraps + 1)
+    ]
+    mdi, performance = [], []
+    for r in model.evaluate(model.fit(cells, wanted)) if wanted else ():
+        mdi += [(r.dataset, r.window_id, r.repeat, f, x) for f, x in zip(features, r.importance, strict=True)]
+        performance.append((r.dataset, r.window_id, r.repeat, *[r[m] for m in model.METRICS]))
+    tuned = [(w.dataset, w.window_id, point["trees"], point["features"], point["leaf"]) for w, point in zip(wins, picked, strict=True)]
+    cells.unpersist()
     if not mdi:
         raise ValueError("no window has both classes in its training and test slices")
     imp = spark.createDataFrame(mdi, "dataset string, window_id long, bootstrap_id int, feature string, importance double")
@@ -200,17 +205,16 @@ def _sets(rows: DataFrame, sets: dict[str, list[str]], repeats: int, points: lis
         raise ValueError(f"missing features: {sorted(missing)}")
     done, records = [], None
     for name, features in sets.items():
-        numbered, records, wins = _modelled(rows, features)
-        for w in wins:
-            if not w.used_for_modeling:
-                continue
-            own = numbered.filter(F.col("dataset") == w.dataset)
-            train, test = own.filter(F.col("idx").between(w.train_start, w.train_end)), own.filter(F.col("idx").between(w.test_start, w.test_end))
-            seed = SEED + w.window_id + 100 * steps[name]
-            point = model.tune(train, w.train_size, seed, points)
-            for r in range(1, repeats + 1):
-                got = model.evaluate(model.predictions(model.fit(train, point, seed + r), test)).first()
-                done.append((name, w.dataset, w.window_id, r, len(features), *[got[m] for m in REPORTED]))
+        cells, records, wins = _modelled(rows, features)
+        seeds = [SEED + w.window_id + 100 * steps[name] for w in wins]
+        wanted = [
+            (w.dataset, w.window_id, 0, r, False, model.tries(point["features"], len(features)), [point["leaf"]], [point["trees"]], seed + r)
+            for w, seed, point in zip(wins, seeds, model.tune(cells, wins, seeds, points, len(features)), strict=True)
+            for r in range(1, repeats + 1)
+        ]
+        for r in model.evaluate(model.fit(cells, wanted)) if wanted else ():
+            done.append((name, r.dataset, r.window_id, r.repeat, len(features), *[r[m] for m in REPORTED]))
+        cells.unpersist()
     schema = "experiment string, dataset string, window_id long, repeat int, selected_feature_count int, " + ", ".join(f"{m} double" for m in REPORTED)
     return rows.sparkSession.createDataFrame(done, schema), records
 
